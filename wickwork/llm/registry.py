@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from . import (
     bpe_transducer,
+    cotraining,
     extendible_shards,
     length_buckets,
+    robust_rules,
+    secret_spans,
 )
 
 QUERIES = {
+    "op1_cotraining": cotraining.query,
+    "op3_robust_rules": robust_rules.query,
     "op4_bpe_transducer": bpe_transducer.query,
     "op5_length_buckets": length_buckets.query,
     "op6_extendible_shards": extendible_shards.query,
+    "op8_secret_spans": secret_spans.query,
 }
 
 ORACLES = {
