@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     bpe_transducer,
     cotraining,
+    dart_minhash,
     extendible_shards,
     length_buckets,
     robust_rules,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_length_buckets": length_buckets.query,
     "op6_extendible_shards": extendible_shards.query,
     "op8_secret_spans": secret_spans.query,
+    "op9_dart_minhash": dart_minhash.query,
 }
 
 ORACLES = {
