@@ -3,9 +3,9 @@
 Items have a bigint id, a signature (`width` uint32 as bytes) and, where it comes to that, a text. All steps
 are joins and sums on even keys; no group of items, however large, meets in one task:
 
-1. Banding. Items that share a band's key are candidates. A bucket is not expanded into pairs: its members are
-   held against one member, the signatures first; those it doesn't resemble are held against another one of them,
-   until few are left, of which all pairs are taken.
+1. Banding. Items that share a band's key are candidates; their signatures are compared. No pairs are emitted but the few that connect
+   what is alike: a small bucket is looked through in memory; of a large one all members are held against one, and those that it
+   doesn't resemble travel to blocks of the bucket.
 2. What signatures call alike is united into clusters (distributed union-find over edges).
 3. Exact verification by Jaccard's index of the texts' shingles. A cluster is cut into blocks of bounded size. Inside a block
    each item is compared with those it shares a band with, and no more with a component once it is in it. Then items outside a
@@ -25,8 +25,8 @@ from pyspark.sql.types import IntegerType
 
 from .tools import dropped, mixed, stored
 
-#: Items and characters in a block; buckets of at most this many members without a likeness are expanded into pairs; members of each component that travel first.
-BLOCK_ITEMS, BLOCK_CHARS, FEW, SCOUTS = 500, 2_000_000, 32, 8
+#: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
+BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,35 +83,66 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == np.frombuffer(b"".join(b), np.uint32).reshape(len(a), -1)).sum(1).astype(np.int32))
 
 
-def candidates(items: DataFrame, width: int, rows: int, likeness: float) -> DataFrame:
+def _alike(rows: list[tuple], least: int) -> list[tuple[int, int]]:
+    """Pairs (id, id) that connect what agrees in `least` places among (id, signature, traveller); pairs of two residents don't count."""
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
+    made = np.array([np.frombuffer(r[1], np.uint32) for r in rows])
+    known: dict[int, int] = {}  # a traveller may also be among the residents
+    labels, out = np.array([known.setdefault(r[0], i) for i, r in enumerate(rows)]), []
+    for i in range(sum(not r[2] for r in rows), len(rows)):
+        hits = np.flatnonzero((made[:i] == made[i]).sum(1) >= least)
+        met, first = np.unique(labels[hits], return_index=True)
+        for label, j in zip(met.tolist(), hits[first].tolist(), strict=True):
+            if label != labels[i]:
+                out.append((rows[i][0], rows[j][0]))
+                labels[labels == label] = labels[i]
+    return out
+
+
+def _in_groups(rows: DataFrame, keys: list[str], columns: list[str], work: Callable) -> DataFrame:
+    """a, b from work(rows of one group, as tuples of `columns`); groups come one after another in sorted partitions."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, []
+        for part in parts:
+            found = []
+            for now, row in zip(part[keys].itertuples(index=False, name=None), part[columns].itertuples(index=False, name=None), strict=True):
+                if now != key:
+                    if len(group) > 1:
+                        found += work(group)
+                    key, group = now, []
+                group.append(row)
+            yield pd.DataFrame(found, columns=["a", "b"])
+        yield pd.DataFrame(work(group) if len(group) > 1 else [], columns=["a", "b"])
+
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
+
+
+def candidates(items: DataFrame, width: int, rows: int, likeness: float, members: int = MEMBERS) -> DataFrame:
     """a, b: pairs whose signatures agree in as many places as a pair of that likeness nearly always does, enough of them to connect all such pairs of a bucket.
 
-    items: id, signature; ids once only.
+    items: id, signature; ids once only. In a bucket of more than `members`, all are held against one of them; what it doesn't resemble
+    travels to blocks of the bucket and is held against all members there.
     """
     least = int(width * likeness - 5 * np.sqrt(width * likeness * (1 - likeness)))
     banded = items.select("id", F.explode(_keys_udf(width, rows)("signature")).alias("key"))
     counted = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.xxhash64("id", "key")).alias("pick"), F.count("*").alias("n"))
-    shared = stored(banded.join(counted.filter("low <> high").select("key", "pick", "n"), "key"))
-    sign = lambda name: items.select(F.col("id").alias(name), F.col("signature").alias(f"s{name}"))
-    out, rest = [], shared
-    while True:
-        heads = rest.filter(F.xxhash64("id", "key") == F.col("pick")).groupBy("key").agg(F.min("id").alias("b"))
-        star = rest.filter(F.col("n") > FEW).join(heads, "key").filter("id <> b").select("key", F.col("id").alias("a"), "b")
-        small = rest.filter(F.col("n") <= FEW)
-        pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").filter("a > b")
-        told = stored(star.unionByName(pairs).join(sign("a"), "a").join(sign("b"), "b").withColumn("alike", agreement("sa", "sb") >= least).select("key", "a", "b", "alike"))
-        out.append(told.filter("alike").select("a", "b"))
-        if rest.filter(F.col("n") > FEW).isEmpty():
-            break
-        left = told.filter("not alike").select("key", F.col("a").alias("id")).join(rest.filter(F.col("n") > FEW).select("key").distinct(), "key", "left_semi")
-        again = left.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("id", "key")).alias("pick"))
-        rest = stored(left.join(again, "key").select("key", "id", "pick", "n"))
-        if rest.isEmpty():
-            break
-    all_ = out[0]
-    for x in out[1:]:
-        all_ = all_.unionByName(x)
-    return all_.distinct()
+    shared = stored(banded.join(counted.filter("low <> high").select("key", "pick", "n"), "key").join(items, "id").select("key", "id", "signature", "pick", "n"))
+    columns, keys, work = ["id", "signature", "traveller"], ["key", "block", "party"], lambda group: _alike(group, least)
+    small = shared.filter(F.col("n") <= members).withColumns({"block": F.lit(0), "party": F.lit(0), "traveller": F.lit(True)})
+    out = _in_groups(small, keys, columns, work)
+    large = shared.filter(F.col("n") > members)
+    if not large.isEmpty():
+        heads = large.filter(F.xxhash64("id", "key") == F.col("pick")).groupBy("key").agg(F.min(F.struct("id", "signature")).alias("head"))
+        star = stored(large.join(heads, "key").filter("id <> head.id").withColumn("alike", agreement("signature", "head.signature") >= least).select("key", "id", "signature", "n", F.col("head.id").alias("b"), "alike"))
+        left = star.filter("not alike")
+        parties = left.groupBy("key").agg(F.ceil(F.count("*") / members).cast("int").alias("parties"))
+        blocks = F.ceil(F.col("n") / members).cast("int")
+        going = left.join(parties, "key").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("traveller", F.lit(True))
+        staying = large.join(parties, "key").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("traveller", F.lit(False))
+        both = [*keys, *columns]
+        out = out.unionByName(star.filter("alike").select(F.col("id").alias("a"), "b")).unionByName(_in_groups(going.select(*both).unionByName(staying.select(*both)), keys, columns, work))
+    return out.distinct()
 
 
 class _Union:
@@ -167,31 +198,16 @@ def _links(group: list[tuple], elements: Callable, rows: int, likeness: float, c
 
 
 def _verified(rows: DataFrame, keys: list[str], elements: Callable, band_rows: int, likeness: float, cross: bool) -> DataFrame:
-    """a, b from _links of each group of rows with equal keys; groups come one after another in sorted partitions."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, group = None, []
-        for part in parts:
-            found = []
-            for *now, id_, signature, text, label, traveller in part[[*keys, "id", "signature", "text", "label", "traveller"]].itertuples(index=False):
-                if now != key:
-                    found += _links(group, elements, band_rows, likeness, cross)
-                    key, group = now, []
-                group.append((id_, signature, text, label, traveller))
-            yield pd.DataFrame(found, columns=["a", "b"])
-        yield pd.DataFrame(_links(group, elements, band_rows, likeness, cross), columns=["a", "b"])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
+    return _in_groups(rows, keys, ["id", "signature", "text", "label", "traveller"], lambda group: _links(group, elements, band_rows, likeness, cross))
 
 
-def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable, width: int, rows: int, likeness: float, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable, width: int, rows: int, likeness: float, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
     """id, root of all items that are alike to another one (root is the group's least id).
 
     texts(ids): id, text for the rows of ids (column id). elements: texts to arrays of shingle hashes.
     """
-    clusters = stored(components(candidates(items, width, rows, likeness)).withColumnRenamed("root", "cluster"))
+    clusters = stored(components(candidates(items, width, rows, likeness, members)).withColumnRenamed("root", "cluster"))
     member = texts(clusters.select("id")).join(clusters, "id").join(items.select("id", "signature"), "id")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     member = stored(member)
     sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("blocks"))
