@@ -23,15 +23,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; one of its own only where none is named (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="wickwork-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or (context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else None)
+    if at:
+        return at
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="wickwork-")
+    return _OWN[context.applicationId]
 
 
 def stored(df: DataFrame) -> DataFrame:
