@@ -20,11 +20,13 @@ very many documents makes that group large. It costs time in proportion to the c
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +45,21 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = G
         return none
     starts = np.arange(n - gram + 1)
     grams = span_hashes(prefix_sums(raw), starts, starts + gram, inverse_powers(n + 1))
-    # Least gram of each window, leftmost of equals: minima from the left and from the right within blocks of `reach` grams.
+    # Least gram of each window by its high half, then leftmost: minima from the left and from the right within blocks of `reach` grams.
     m = len(grams)
     whole = -(-m // reach) * reach
-    order = np.argsort(grams, kind="stable")
-    rank = np.empty(m, np.int64)
-    rank[order] = np.arange(m)  # equal grams: the leftmost has the least rank
-    padded = np.full(whole, m, np.int64)
-    padded[:m] = rank
+    padded = np.full(whole, np.iinfo(np.uint64).max, np.uint64)
+    padded[:m] = (grams >> np.uint64(32) << np.uint64(32)) | starts.astype(np.uint64)
     left = np.minimum.accumulate(padded.reshape(-1, reach), 1).ravel()
-    right = np.minimum.accumulate(padded.reshape(-1, reach)[:, ::-1], 1)[:, ::-1].ravel()
+    right = np.ascontiguousarray(np.minimum.accumulate(padded.reshape(-1, reach)[:, ::-1], 1)[:, ::-1]).ravel()
     windows = np.arange(n - length + 1)
     least = np.minimum(right[windows], left[windows + reach - 1])
     owner = np.searchsorted(at, windows, side="right") - 1
     inside = windows + length <= at[owner + 1]
-    chosen = np.unique(order[least[inside]])
+    least = least[inside]
+    fresh = np.ones(len(least), bool)
+    fresh[1:] = least[1:] != least[:-1]  # a window's anchor never lies before the last window's
+    chosen = (least[fresh] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     return chosen, grams[chosen]
 
 
@@ -190,19 +192,20 @@ def resolve(group: list[tuple[bytes, int, bytes, int]], length: int = LENGTH) ->
     return out
 
 
-def _run_rows(items: dict[int, dict[tuple[bytes, bytes], list[tuple[int, int]]]], ranges: int) -> Iterator[dict]:
-    """Front-coded runs, one for each hash range that the grams of items fall into."""
+def _run_rows(items: dict[tuple[bytes, bytes], list[tuple[int, int]]], ranges: int) -> Iterator[dict]:
+    """Front-coded runs, one for each hash range that the grams of items (right and left context: where) fall into."""
     by_range: dict[int, list] = {}
-    for gram, contexts in items.items():
-        by_range.setdefault(gram % ranges, []).append(contexts)
-    for number, many in by_range.items():
-        entries = sorted((right, left, where) for contexts in many for (right, left), where in contexts.items())
+    for context in sorted(items):
+        by_range.setdefault(zlib.crc32(context[0][:GRAM]) % ranges, []).append(context)
+    pack = lambda x, kind="<i4": np.array(x, kind).tobytes()
+    press = zstandard.ZstdCompressor(level=3).compress
+    for number, entries in by_range.items():
         shared, rests = front_coded([x[0] for x in entries])
-        pack = lambda x, kind="<i4": np.array(x, kind).tobytes()
+        where = [w for x in entries for w in items[x]]
         yield {
-            "range": number, "shared": pack(shared), "sizes": pack([len(x) for x in rests]), "rests": b"".join(rests),
-            "lefts": b"".join(x[1] for x in entries), "left_sizes": pack([len(x[1]) for x in entries]), "times": pack([len(x[2]) for x in entries], "<i8"),
-            "docs": pack([w[0] for x in entries for w in x[2]], "<i8"), "places": pack([w[1] for x in entries for w in x[2]], "<i8"),
+            "range": number, "shared": pack(shared), "sizes": pack([len(x) for x in rests]), "rests": press(b"".join(rests)),
+            "lefts": press(b"".join(x[1] for x in entries)), "left_sizes": pack([len(x[1]) for x in entries]), "times": pack([len(items[x]) for x in entries], "<i8"),
+            "docs": pack([w[0] for w in where], "<i8"), "places": pack([w[1] for w in where]),
         }
 
 
@@ -211,10 +214,11 @@ _RUN_SCHEMA = "range int, shared binary, sizes binary, rests binary, lefts binar
 
 def _read_run(row) -> Iterator[tuple[int, bytes, object]]:
     shared, sizes, left_sizes, times = (np.frombuffer(row[c], k).tolist() for c, k in (("shared", "<i4"), ("sizes", "<i4"), ("left_sizes", "<i4"), ("times", "<i8")))
-    docs, places = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["places"], "<i8")
+    docs, places = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["places"], "<i4")
+    rests, lefts = zstandard.decompress(row["rests"]), zstandard.decompress(row["lefts"])
     at = left_at = owner_at = 0
     for k in range(len(shared)):
-        yield shared[k], row["rests"][at : at + sizes[k]], (row["lefts"][left_at : left_at + left_sizes[k]], docs[owner_at : owner_at + times[k]], places[owner_at : owner_at + times[k]])
+        yield shared[k], rests[at : at + sizes[k]], (lefts[left_at : left_at + left_sizes[k]], docs[owner_at : owner_at + times[k]], places[owner_at : owner_at + times[k]])
         at, left_at, owner_at = at + sizes[k], left_at + left_sizes[k], owner_at + times[k]
 
 
@@ -272,19 +276,22 @@ def _anchors_of(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _runs_of(docs: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Front-coded sorted runs from docs (key, text, places)."""
+    """Front-coded sorted runs from docs (key, text, places; other columns may stand there)."""
+    names = ["range", "shared", "sizes", "rests", "lefts", "left_sizes", "times", "docs", "places"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, size = {}, 0
-        names = ["range", "shared", "sizes", "rests", "lefts", "left_sizes", "times", "docs", "places"]
         for part in parts:
             for key, text, places in zip(part["key"].tolist(), part["text"], part["places"], strict=True):
                 data = text.encode()
                 for place in places.tolist():
-                    right, left = data[place : place + length], data[max(0, place - length + GRAM) : place]
-                    items.setdefault(_gram_hash(right[:GRAM]), {}).setdefault((right, left), []).append((key, place))
-                    size += 1
-                if size > 60_000:  # a run that fits in memory
+                    context = data[place : place + length], data[max(0, place - length + GRAM) : place]
+                    if context in items:
+                        items[context].append((key, place))
+                    else:
+                        items[context] = [(key, place)]
+                size += len(places)
+                if size > 150_000:  # a run that fits in memory
                     yield pd.DataFrame(list(_run_rows(items, ranges)), columns=names)
                     items, size = {}, 0
         yield pd.DataFrame(list(_run_rows(items, ranges)), columns=names)
@@ -292,10 +299,6 @@ def _runs_of(docs: DataFrame, length: int, ranges: int) -> DataFrame:
     return docs.mapInPandas(run, _RUN_SCHEMA)
 
 
-def _gram_hash(gram: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(gram, digest_size=8).digest(), "little")
-
-
 def _merged(runs: DataFrame, length: int) -> DataFrame:
     """key, begin, stop of repeated stretches: each hash range's runs, one after another in sorted partitions, merged."""
 
@@ -325,14 +328,15 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, spans (array of begin, stop) of the bytes of each text (key, text) that a repeated string of `length` bytes covers, for keys that have some."""
+    """key, spans (array of begin, stop) of the bytes of each text (key, text, id) that a repeated string of `length` bytes covers, for keys that have some."""
     found = stored(_anchors_of(docs, length))
     grams = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     places = found.join(grams, "gram").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"), F.count("*").alias("n_places"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(partitions, -(-found.count() // RANGE_ANCHORS))
     # repeated rows of one key count as so many texts
-    runs = _runs_of(docs.join(places, "key").select("key", "text", "places"), length, ranges)
+    # The id comes along unused: so this join reads the same exchange of texts as the last one.
+    runs = _runs_of(docs.join(places, "key").select("key", "text", "id", "places"), length, ranges)
     return _merged(runs, length).groupBy("key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
@@ -345,7 +349,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64(F.col("id").cast("string"), "text"))
-    spans = repeated(keyed.select("key", "text"), length)
+    spans = repeated(keyed, length)
 
     @F.pandas_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
