@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_groups import groups
+from .near_groups import band_keys, groups
 from .tools import inverse_powers, mixed, prefix_sums, span_hashes, stored, table, text_bytes, text_of, word_spans
 
 #: Words in a shingle, likeness, coordinates of a signature, coordinates in a band.
@@ -87,9 +87,9 @@ def darts(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, wi
     return out
 
 
-def signatures(texts: list[str], width: int = WIDTH) -> list[bytes]:
-    """Empty for a text without words."""
-    out: list[bytes] = []
+def signatures(texts: list[str], width: int = WIDTH, rows: int = ROWS) -> list[tuple[np.ndarray | None, bytes]]:
+    """For each text the keys of its bands, and the low bytes of its signature; None and nothing for a text without words."""
+    out: list[tuple[np.ndarray | None, bytes]] = []
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -105,8 +105,9 @@ def signatures(texts: list[str], width: int = WIDTH) -> list[bytes]:
         at = np.flatnonzero(first)
         counts = np.diff(np.append(at, len(hashes)))
         made = darts(hashes[at], 1 + np.log(np.maximum(counts, 1)), owner[at], n, width)
+        keys, low = band_keys(made, rows), made.astype(np.uint8)
         has = np.bincount(owner, minlength=n) > 0
-        out += [made[k].tobytes() if has[k] else b"" for k in range(n)]
+        out += [(keys[k], low[k].tobytes()) if has[k] else (None, b"") for k in range(n)]
         start = stop
     return out
 
@@ -120,17 +121,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
     have a row. An empty table gives no rows; other columns are ignored, texts are read whole.
     """
 
-    @F.pandas_udf("signature binary, n_words bigint")
+    @F.pandas_udf("keys array<bigint>, signature binary, n_words bigint")
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             rows = texts.tolist()
-            yield pd.DataFrame({"signature": signatures(rows), "n_words": [len(x.split()) for x in rows]})
+            made = signatures(rows)
+            yield pd.DataFrame({"keys": [k for k, _ in made], "signature": [x for _, x in made], "n_words": [len(x.split()) for x in rows]})
 
     rows = stored(docs.select(F.col(id_col).cast("bigint").alias("id"), F.md5(text_of(text_col).cast("binary")).alias("content"), sign(text_of(text_col)).alias("s")).select("id", "content", "s.*"))
-    copies = stored(rows.groupBy("content").agg(F.min("id").alias("first"), F.max("signature").alias("signature")).select("content", "first", "signature"))
-    items = copies.filter("first is not null and length(signature) > 0").select(F.col("first").alias("id"), "signature")
+    copies = stored(rows.groupBy("content").agg(F.min("id").alias("first"), F.max(F.struct("signature", "keys")).alias("s")).select("content", "first", "s.*"))
+    items = copies.filter("first is not null and keys is not null").select(F.col("first").alias("id"), "keys", "signature")
     texts = lambda ids: docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    found = groups(items.groupBy("id").agg(F.max("signature").alias("signature")), texts, lambda x: shingle_sets(x), WIDTH, ROWS, likeness, **blocks)
+    found = groups(items.dropDuplicates(["id"]), texts, shingle_sets, WIDTH, likeness, **blocks)
     named = copies.select("content", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("content", F.coalesce("root", "first").alias("class_id"))
     return rows.join(named, "content").select(F.col("id").alias(id_col), "class_id", "n_words", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 

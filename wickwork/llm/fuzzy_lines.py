@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_groups import groups
+from .near_groups import band_keys, groups
 from .tools import inverse_powers, mixed, prefix_sums, span_hashes, stored, table
 
 #: Characters in a shingle, likeness, coordinates of a signature, coordinates in a band, characters that a line needs to be compared.
@@ -60,15 +60,29 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """id, line (from 0), h (its hash), signature for each line that is compared."""
+    """id, line (from 0), h (its hash), keys, signature for each line that is compared; a line that the task has just met lacks the last two."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+
         def made(ids: list, numbers: list, lines: list) -> pd.DataFrame:
             raw = [x.encode() for x in lines]
             data = np.frombuffer(b"".join(raw), np.uint8)
             at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-            h = mixed(span_hashes(prefix_sums(data), at[:-1], at[1:], inverse_powers(len(data) + 1)))
-            return pd.DataFrame({"id": ids, "line": numbers, "h": h.view(np.int64), "signature": [x.tobytes() for x in signatures(lines)]})
+            h = mixed(span_hashes(prefix_sums(data), at[:-1], at[1:], inverse_powers(len(data) + 1))).view(np.int64)
+            new = []
+            for k, x in enumerate(h.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(k)
+            if len(seen) > 200_000:
+                seen.clear()
+            keys, low = np.full(len(lines), None, object), np.full(len(lines), None, object)
+            if new:
+                full = signatures([lines[k] for k in new])
+                for k, a, b in zip(new, band_keys(full, ROWS), full.astype(np.uint8), strict=True):
+                    keys[k], low[k] = a, b.tobytes()
+            return pd.DataFrame({"id": ids, "line": numbers, "h": h, "keys": keys, "signature": low})
 
         for part in parts:
             ids, numbers, lines, size = [], [], [], 0
@@ -85,21 +99,21 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
             if lines:
                 yield made(ids, numbers, lines)
 
-    return docs.mapInPandas(run, "id bigint, line int, h bigint, signature binary")
+    return docs.mapInPandas(run, "id bigint, line int, h bigint, keys array<bigint>, signature binary")
 
 
 def doomed(docs: DataFrame, likeness: float = LIKENESS, least: int = LEAST, **blocks) -> DataFrame:
     """id, lines: for each text (id, text) the numbers of the lines that go, for texts that lose some."""
     rows = stored(lines_of(docs, least))
     # one row for each distinct line: where it first stands
-    nodes = stored(rows.groupBy("h").agg(F.min(F.struct("id", "line", "signature")).alias("first"), F.count("*").alias("n")).select("h", "first.*", "n"))
+    nodes = stored(rows.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).select("h", "first.*", "n"))
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids.distinct().withColumnRenamed("id", "h"), "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))
         split = docs.join(wanted, "id").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
         return split.select(F.col("w.h").alias("id"), F.get("all", F.col("w.line")).alias("text")).dropDuplicates(["id"])
 
-    found = groups(nodes.select(F.col("h").alias("id"), "signature"), texts, shingle_sets, WIDTH, ROWS, likeness, **blocks)
+    found = groups(rows.filter("keys is not null").select(F.col("h").alias("id"), "keys", "signature"), texts, shingle_sets, WIDTH, likeness, **blocks)
     groups_ = nodes.select("h", "id", "line", "n").join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     keepers = groups_.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     marked = groups_.select("h", "root").join(keepers.drop("n"), "root").select("h", "keep")

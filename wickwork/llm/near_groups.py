@@ -1,6 +1,6 @@
 """From signatures to groups of near-duplicates: banding, exact verification, distributed union-find.
 
-Items have a bigint id, a signature (`width` uint32 as bytes) and, where it comes to that, a text. All steps
+Items have a bigint id, the keys of their bands, a signature (the low byte of each of `width` coordinates) and, where it comes to that, a text. All steps
 are joins and sums on even keys; no group of items, however large, meets in one task:
 
 1. Banding. Items that share a band's key are candidates; their signatures are compared. No pairs are emitted but the few that connect
@@ -59,34 +59,19 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return mixed(keys + np.arange(width // rows, dtype=np.uint64)[None, :]).view(np.int64)
 
 
-def _keys_udf(width: int, rows: int):
-    @F.pandas_udf("array<bigint>")
-    def keys(signatures: pd.Series) -> pd.Series:
-        full = np.array([len(x) == 4 * width for x in signatures], bool)
-        out = np.empty(len(signatures), object)
-        out[:] = [[] for _ in range(len(signatures))]
-        if full.any():
-            made = band_keys(np.array([np.frombuffer(x, np.uint32) for x in signatures[full]]), rows)
-            for i, k in enumerate(np.flatnonzero(full)):
-                out[k] = made[i]
-        return pd.Series(out)
-
-    return keys
-
-
 @F.pandas_udf(IntegerType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Equal coordinates of two signatures."""
     if not len(a):
         return pd.Series([], dtype="int32")
-    x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), -1)
-    return pd.Series((x == np.frombuffer(b"".join(b), np.uint32).reshape(len(a), -1)).sum(1).astype(np.int32))
+    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
+    return pd.Series((x == np.frombuffer(b"".join(b), np.uint8).reshape(len(a), -1)).sum(1).astype(np.int32))
 
 
 def _alike(rows: list[tuple], least: int) -> list[tuple[int, int]]:
     """Pairs (id, id) that connect what agrees in `least` places among (id, signature, traveller); pairs of two residents don't count."""
     rows = sorted(rows, key=lambda r: (r[2], r[0]))
-    made = np.array([np.frombuffer(r[1], np.uint32) for r in rows])
+    made = np.array([np.frombuffer(r[1], np.uint8) for r in rows])
     known: dict[int, int] = {}  # a traveller may also be among the residents
     labels, out = np.array([known.setdefault(r[0], i) for i, r in enumerate(rows)]), []
     for i in range(sum(not r[2] for r in rows), len(rows)):
@@ -118,16 +103,20 @@ def _in_groups(rows: DataFrame, keys: list[str], columns: list[str], work: Calla
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
 
 
-def candidates(items: DataFrame, width: int, rows: int, likeness: float, members: int = MEMBERS) -> DataFrame:
+def candidates(items: DataFrame, width: int, likeness: float, members: int = MEMBERS) -> DataFrame:
     """a, b: pairs whose signatures agree in as many places as a pair of that likeness nearly always does, enough of them to connect all such pairs of a bucket.
 
-    items: id, signature; ids once only. In a bucket of more than `members`, all are held against one of them; what it doesn't resemble
-    travels to blocks of the bucket and is held against all members there.
+    items: id, keys, signature; of an id's rows, which must be alike, some may lack keys. In a bucket of more than `members`, all are held
+    against one of them; what it doesn't resemble travels to blocks of the bucket and is held against all members there.
     """
     least = int(width * likeness - 5 * np.sqrt(width * likeness * (1 - likeness)))
-    banded = items.select("id", F.explode(_keys_udf(width, rows)("signature")).alias("key"))
-    counted = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.xxhash64("id", "key")).alias("pick"), F.count("*").alias("n"))
-    shared = stored(banded.join(counted.filter("low <> high").select("key", "pick", "n"), "key").join(items, "id").select("key", "id", "signature", "pick", "n"))
+    banded = items.select("id", F.explode("keys").alias("key"))
+    counted = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    pairs = stored(banded.join(counted.filter("low <> high").select("key"), "key").distinct())
+    sizes = pairs.groupBy("key").agg(F.min(F.xxhash64("id", "key")).alias("pick"), F.count("*").alias("n"))
+    signed = items.filter("keys is not null").select("id", "signature").join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    shared = stored(pairs.join(sizes, "key").join(signed, "id").select("key", "id", "signature", "pick", "n"))
+    dropped(pairs)
     columns, keys, work = ["id", "signature", "traveller"], ["key", "block", "party"], lambda group: _alike(group, least)
     small = shared.filter(F.col("n") <= members).withColumns({"block": F.lit(0), "party": F.lit(0), "traveller": F.lit(True)})
     out = _in_groups(small, keys, columns, work)
@@ -160,14 +149,13 @@ class _Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def _links(group: list[tuple], elements: Callable, rows: int, likeness: float, cross: bool) -> list[tuple[int, int]]:
-    """Verified links that connect what is alike among (id, signature, text, label, traveller); across components of `label` only.
+def _links(group: list[tuple], elements: Callable, likeness: float, cross: bool) -> list[tuple[int, int]]:
+    """Verified links that connect what is alike among (id, keys, text, label, traveller); across components of `label` only.
 
     cross: only pairs of a traveller and a resident count.
     """
     if len(group) < 2:
         return []
-    keys = band_keys(np.array([np.frombuffer(x[1], np.uint32) for x in group]), rows)
     order = sorted(range(len(group)), key=lambda i: (group[i][4], group[i][0]))
     shingles: dict[int, frozenset] = {}
 
@@ -178,7 +166,7 @@ def _links(group: list[tuple], elements: Callable, rows: int, likeness: float, c
 
     union, buckets, out = _Union(), {}, []
     for i in order:
-        mine, traveller = keys[i].tolist(), group[i][4]
+        mine, traveller = group[i][1].tolist(), group[i][4]
         if not cross or traveller:
             met = {j for key in mine for j in buckets.get(key, ()) if not cross or not group[j][4]}
             for j in sorted(met):
@@ -197,22 +185,22 @@ def _links(group: list[tuple], elements: Callable, rows: int, likeness: float, c
     return out
 
 
-def _verified(rows: DataFrame, keys: list[str], elements: Callable, band_rows: int, likeness: float, cross: bool) -> DataFrame:
-    return _in_groups(rows, keys, ["id", "signature", "text", "label", "traveller"], lambda group: _links(group, elements, band_rows, likeness, cross))
+def _verified(rows: DataFrame, keys: list[str], elements: Callable, likeness: float, cross: bool) -> DataFrame:
+    return _in_groups(rows, keys, ["id", "keys", "text", "label", "traveller"], lambda group: _links(group, elements, likeness, cross))
 
 
-def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable, width: int, rows: int, likeness: float, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
+def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable, width: int, likeness: float, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
     """id, root of all items that are alike to another one (root is the group's least id).
 
     texts(ids): id, text for the rows of ids (column id). elements: texts to arrays of shingle hashes.
     """
-    clusters = stored(components(candidates(items, width, rows, likeness, members)).withColumnRenamed("root", "cluster"))
-    member = texts(clusters.select("id")).join(clusters, "id").join(items.select("id", "signature"), "id")
+    clusters = stored(components(candidates(items, width, likeness, members)).withColumnRenamed("root", "cluster"))
+    member = texts(clusters.select("id")).join(clusters, "id").join(items.filter("keys is not null").select("id", "keys").join(clusters, "id", "left_semi").dropDuplicates(["id"]), "id")
     member = stored(member)
     sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("blocks"))
     placed = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("label", F.col("id")).withColumn("traveller", F.lit(False))
-    links = stored(_verified(placed, ["cluster", "block"], elements, rows, likeness, cross=False))
+    links = stored(_verified(placed, ["cluster", "block"], elements, likeness, cross=False))
     if not blocks.filter("blocks > 1").isEmpty():
         wide = stored(placed.filter("blocks > 1").drop("label"))
         for scouts in (True, False):
@@ -229,6 +217,6 @@ def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements:
             weights = away.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("parties"))
             going = away.join(weights, "cluster").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("at <> block").withColumn("traveller", F.lit(True))
             staying = split.join(weights, "cluster").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("at", F.col("block"))
-            columns = ["cluster", "at", "party", "id", "signature", "text", "label", "traveller"]
-            links = stored(links.unionByName(_verified(going.select(*columns).unionByName(staying.select(*columns)), ["cluster", "at", "party"], elements, rows, likeness, cross=True)))
+            columns = ["cluster", "at", "party", "id", "keys", "text", "label", "traveller"]
+            links = stored(links.unionByName(_verified(going.select(*columns).unionByName(staying.select(*columns)), ["cluster", "at", "party"], elements, likeness, cross=True)))
     return components(links)

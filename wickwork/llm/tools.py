@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files of earlier steps go once the driver has forgotten their plans
     at = f"{shared_folder(spark)}/wickwork-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
