@@ -90,8 +90,9 @@ def _chain(rows: Column, capital: float) -> Column:
 def chained(fires: DataFrame, out: DataFrame, keys: list[str], b: Bracket = Bracket()) -> DataFrame:
     """keys, and account: the chain over each key's fires (symbol, bar, direction, keys; symbol is one of the keys)."""
     met = fires.join(out.select("symbol", "bar", "direction", "exit_bar", "g"), ["symbol", "bar", "direction"])
-    rows = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bar", "exit_bar", "g"))).alias("rows"))
-    return rows.select(*keys, _chain(F.col("rows"), b.initial_capital).alias("account"))
+    rows = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bar", "exit_bar", "g"))).alias("rows"))
+    # A generator is a border that projections aren't merged over: the fold runs once, not once for each field read from it.
+    return rows.select(*keys, F.explode(F.array(_chain(F.col("rows"), b.initial_capital))).alias("account"))
 
 
 def statistics(accounts: DataFrame, keys: list[str], b: Bracket = Bracket()) -> DataFrame:

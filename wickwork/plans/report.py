@@ -31,7 +31,7 @@ def masked(df: DataFrame, names: list[str], window: int = 100) -> DataFrame:
 
 def bitstrings(df: DataFrame) -> DataFrame:
     """symbol, bits: one character for each bar, in order."""
-    rows = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar", F.when(F.col("mask"), "1").otherwise("0").alias("bit")))).alias("r"))
+    rows = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar", F.when(F.col("mask"), "1").otherwise("0").alias("bit")))).alias("r"))
     return rows.select("symbol", F.array_join(F.col("r.bit"), "").alias("bits"))
 
 
@@ -43,7 +43,7 @@ def dictionary(combos: DataFrame) -> DataFrame:
 def compact(combos: DataFrame) -> DataFrame:
     """combos with `indexes`, the numbers of their conditions in order."""
     parts = combos.select("symbol", "direction", "combo", F.posexplode("conditions").alias("pos", "cond")).join(dictionary(combos), "cond")
-    numbers = parts.groupBy("symbol", "direction", "combo").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"]).alias("indexes"))
+    numbers = parts.groupBy("symbol", "direction", "combo").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"]).alias("indexes"))
     return combos.drop("conditions", "ranks").join(numbers, ["symbol", "direction", "combo"])
 
 
@@ -65,8 +65,8 @@ def column_groups(df: DataFrame) -> dict[str, list[str]]:
 
 def payload(df: DataFrame, combos: DataFrame, s: Search = Search()) -> DataFrame:
     """symbol, json: candles as arrays by column, and each combination with its mask, for one chart page a symbol."""
-    bars = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "open", "high", "low", "close"))).alias("c"))
-    found = combos.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.col("total_pnl"), "direction", "combo", "size", "fires", "trades", "win_rate", "return_pct"))).alias("combos"))
+    bars = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "open", "high", "low", "close"))).alias("c"))
+    found = combos.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.col("total_pnl"), "direction", "combo", "size", "fires", "trades", "win_rate", "return_pct"))).alias("combos"))
     doc = F.struct(*[F.col(f"c.{x}").alias(x) for x in ("time", "open", "high", "low", "close")], F.col("combos"))
     return bars.join(found, "symbol", "left").select("symbol", F.to_json(doc).alias("json"))
 
