@@ -207,7 +207,8 @@ def test_op7_lines_against_all_pairs(spark):
     assert out == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     rng = random.Random(13)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
     up = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -220,7 +221,7 @@ def test_components(spark):
     for a, b in edges:
         if a != b:
             up[max(root(a), root(b))] = min(root(a), root(b))
-    assert {r.id: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == {x: root(x) for x in up}
+    assert {r.id: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), few).collect()} == {x: root(x) for x in up}
 
 
 def plain_cleaned(texts, length):

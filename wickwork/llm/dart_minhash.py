@@ -128,10 +128,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
             made = signatures(rows)
             yield pd.DataFrame({"keys": [k for k, _ in made], "signature": [x for _, x in made], "n_words": [len(x.split()) for x in rows]})
 
-    rows = stored(docs.select(F.col(id_col).cast("bigint").alias("id"), F.md5(text_of(text_col).cast("binary")).alias("content"), sign(text_of(text_col)).alias("s")).select("id", "content", "s.*"))
-    copies = stored(rows.groupBy("content").agg(F.min("id").alias("first"), F.max(F.struct("signature", "keys")).alias("s")).select("content", "first", "s.*"))
-    items = copies.filter("first is not null and keys is not null").select(F.col("first").alias("id"), "keys", "signature")
-    texts = lambda ids: docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    rows = stored(docs.select(F.col(id_col).cast("bigint").alias("id"), F.md5(text_of(text_col).cast("binary")).alias("content"), F.length(text_of(text_col)).alias("chars"), sign(text_of(text_col)).alias("s")).select("id", "content", "chars", "s.*"))
+    copies = stored(rows.groupBy("content").agg(F.min("id").alias("first"), F.max(F.struct("signature", "keys", "chars")).alias("s")).select("content", "first", "s.*"))
+    items = copies.filter("first is not null and keys is not null").select(F.col("first").alias("id"), "keys", "signature", "chars")
+    repeated = rows.count() != rows.select("id").distinct().count()
+
+    def texts(ids: DataFrame) -> DataFrame:
+        found = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
+        return found.groupBy("id").agg(F.max("text").alias("text")) if repeated else found
+
     found = groups(items.dropDuplicates(["id"]), texts, shingle_sets, WIDTH, likeness, **blocks)
     named = copies.select("content", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("content", F.coalesce("root", "first").alias("class_id"))
     return rows.join(named, "content").select(F.col("id").alias(id_col), "class_id", "n_words", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))

@@ -82,7 +82,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
                 full = signatures([lines[k] for k in new])
                 for k, a, b in zip(new, band_keys(full, ROWS), full.astype(np.uint8), strict=True):
                     keys[k], low[k] = a, b.tobytes()
-            return pd.DataFrame({"id": ids, "line": numbers, "h": h, "keys": keys, "signature": low})
+            return pd.DataFrame({"id": ids, "line": numbers, "h": h, "chars": [len(x) for x in lines], "keys": keys, "signature": low})
 
         for part in parts:
             ids, numbers, lines, size = [], [], [], 0
@@ -99,7 +99,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
             if lines:
                 yield made(ids, numbers, lines)
 
-    return docs.mapInPandas(run, "id bigint, line int, h bigint, keys array<bigint>, signature binary")
+    return docs.mapInPandas(run, "id bigint, line int, h bigint, chars int, keys array<bigint>, signature binary")
 
 
 def doomed(docs: DataFrame, likeness: float = LIKENESS, least: int = LEAST, **blocks) -> DataFrame:
@@ -110,10 +110,10 @@ def doomed(docs: DataFrame, likeness: float = LIKENESS, least: int = LEAST, **bl
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids.distinct().withColumnRenamed("id", "h"), "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))
-        split = docs.join(wanted, "id").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+        split = docs.join(wanted.hint("shuffle_hash"), "id").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
         return split.select(F.col("w.h").alias("id"), F.get("all", F.col("w.line")).alias("text")).dropDuplicates(["id"])
 
-    found = groups(rows.filter("keys is not null").select(F.col("h").alias("id"), "keys", "signature"), texts, shingle_sets, WIDTH, likeness, **blocks)
+    found = groups(rows.filter("keys is not null").select(F.col("h").alias("id"), "keys", "signature", "chars"), texts, shingle_sets, WIDTH, likeness, **blocks)
     groups_ = nodes.select("h", "id", "line", "n").join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     keepers = groups_.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     marked = groups_.select("h", "root").join(keepers.drop("n"), "root").select("h", "keep")

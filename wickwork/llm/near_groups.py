@@ -27,11 +27,28 @@ from .tools import dropped, mixed, stored
 
 #: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
+#: Edges that are united in one task (16 bytes each); more go through distributed steps.
+FEW_EDGES = 500_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, root: for each node of edges (a, b: bigint) the least node of its component. Alternates large-star and small-star steps until nothing changes."""
+def _united(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    union, nodes = _Union(), set()
+    for part in parts:
+        for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
+            nodes |= {a, b}
+            union.join(a, b)
+    ids = sorted(nodes)
+    yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array([union.root(x) for x in ids], np.int64)})
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """id, root: for each node of edges (a, b: bigint) the least node of its component.
+
+    Alternates large-star and small-star steps until nothing changes. At most `few` edges, by count, are united in one task instead, of bounded size.
+    """
     now = stored(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= few:
+        return now.coalesce(1).mapInPandas(_united, "id bigint, root bigint")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -106,7 +123,7 @@ def _in_groups(rows: DataFrame, keys: list[str], columns: list[str], work: Calla
 def candidates(items: DataFrame, width: int, likeness: float, members: int = MEMBERS) -> DataFrame:
     """a, b: pairs whose signatures agree in as many places as a pair of that likeness nearly always does, enough of them to connect all such pairs of a bucket.
 
-    items: id, keys, signature; of an id's rows, which must be alike, some may lack keys. In a bucket of more than `members`, all are held
+    items: id, keys, signature, chars (length of the text); of an id's rows, which must be alike, some may lack keys. In a bucket of more than `members`, all are held
     against one of them; what it doesn't resemble travels to blocks of the bucket and is held against all members there.
     """
     least = int(width * likeness - 5 * np.sqrt(width * likeness * (1 - likeness)))
@@ -192,16 +209,17 @@ def _verified(rows: DataFrame, keys: list[str], elements: Callable, likeness: fl
 def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable, width: int, likeness: float, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
     """id, root of all items that are alike to another one (root is the group's least id).
 
-    texts(ids): id, text for the rows of ids (column id). elements: texts to arrays of shingle hashes.
+    items as in candidates. texts(ids): id, text for the rows of ids (column id). elements: texts to arrays of shingle hashes.
     """
     clusters = stored(components(candidates(items, width, likeness, members)).withColumnRenamed("root", "cluster"))
-    member = texts(clusters.select("id")).join(clusters, "id").join(items.filter("keys is not null").select("id", "keys").join(clusters, "id", "left_semi").dropDuplicates(["id"]), "id")
-    member = stored(member)
-    sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("blocks"))
-    placed = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("label", F.col("id")).withColumn("traveller", F.lit(False))
+    member = stored(items.filter("keys is not null").select("id", "keys", "chars").join(clusters, "id").dropDuplicates(["id"]))
+    sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars, F.lit(1))).cast("int").alias("blocks"))
+    where = stored(member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    # Texts move to their ids once, and once to their blocks.
+    placed = texts(where.select("id")).join(where.hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False))
     links = stored(_verified(placed, ["cluster", "block"], elements, likeness, cross=False))
-    if not blocks.filter("blocks > 1").isEmpty():
+    if not where.filter("blocks > 1").isEmpty():
         wide = stored(placed.filter("blocks > 1").drop("label"))
         for scouts in (True, False):
             labels = stored(components(links))
