@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_groups import band_keys, groups
-from .tools import inverse_powers, mixed, prefix_sums, span_hashes, stored, table, text_bytes, text_of, word_spans
+from .tools import inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table, text_bytes, text_of, word_spans
 
 #: Words in a shingle, likeness, coordinates of a signature, coordinates in a band.
 WORDS, LIKENESS, WIDTH, ROWS = 5, 0.8, 64, 4
@@ -134,7 +134,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
     repeated = rows.count() != rows.select("id").distinct().count()
 
     def texts(ids: DataFrame) -> DataFrame:
-        found = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
+        found = sifted(docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")), ids).join(ids.hint("shuffle_hash"), "id", "left_semi")
         return found.groupBy("id").agg(F.max("text").alias("text")) if repeated else found
 
     found = groups(items.dropDuplicates(["id"]), texts, shingle_sets, WIDTH, likeness, **blocks)

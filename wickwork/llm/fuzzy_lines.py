@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_groups import band_keys, groups
-from .tools import inverse_powers, mixed, prefix_sums, span_hashes, stored, table
+from .tools import inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table
 
 #: Characters in a shingle, likeness, coordinates of a signature, coordinates in a band, characters that a line needs to be compared.
 SHINGLE, LIKENESS, WIDTH, ROWS, LEAST = 8, 0.8, 32, 4, 24
@@ -110,7 +110,7 @@ def doomed(docs: DataFrame, likeness: float = LIKENESS, least: int = LEAST, **bl
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids.distinct().withColumnRenamed("id", "h"), "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))
-        split = docs.join(wanted.hint("shuffle_hash"), "id").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+        split = sifted(docs, wanted).join(wanted.hint("shuffle_hash"), "id").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
         return split.select(F.col("w.h").alias("id"), F.get("all", F.col("w.line")).alias("text")).dropDuplicates(["id"])
 
     found = groups(rows.filter("keys is not null").select(F.col("h").alias("id"), "keys", "signature", "chars"), texts, shingle_sets, WIDTH, likeness, **blocks)

@@ -60,6 +60,23 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Words of 64 bits of a sieve: at most so many rows are broadcast, 16 bytes each, however many ids there are.
+SIEVE_WORDS = 1 << 20
+
+
+def sifted(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows of df whose id is among ids, and few others: a Bloom filter of bounded size, so that a join that follows doesn't move what it drops.
+
+    With many more ids than bits it lets all rows pass; no row with an id of ids is ever lost.
+    """
+    spot = lambda: F.xxhash64(F.col(column))
+    word = lambda: F.shiftrightunsigned(spot(), 6).bitwiseAND(F.lit(SIEVE_WORDS - 1))
+    bit = lambda: F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))")
+    sieve = ids.select(word().alias("__word"), bit().alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumns({"__at": word(), "__one": bit()})
+    return marked.join(F.broadcast(sieve), (F.col("__at") == F.col("__word")) & (F.col("__bits").bitwiseAND(F.col("__one")) != 0), "left_semi").drop("__at", "__one")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column without nulls, one after another, and where each text starts (one entry more than texts)."""
     if pa.types.is_large_string(column.type):
