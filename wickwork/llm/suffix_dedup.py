@@ -330,7 +330,8 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, spans (array of begin, stop) of the bytes of each text (key, text, id) that a repeated string of `length` bytes covers, for keys that have some."""
     found = stored(_anchors_of(docs, length))
-    grams = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, so that the join reads plain exchanges on both sides and adaptive execution can split a frequent gram.
+    grams = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")).hint("merge")
     places = found.join(grams, "gram").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"), F.count("*").alias("n_places"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(partitions, -(-found.count() // RANGE_ANCHORS))
