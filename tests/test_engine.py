@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from wickwork.functions.dialect import SPARK, apply
-from wickwork.operators import combos, signals, trades, zones
+from wickwork.operators import combos, indicators, signals, trades, zones
 from wickwork.plans import catalog, report
 from wickwork.sources import candles
 
@@ -136,3 +136,21 @@ def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_search_takes_every_column_and_signal(spark, monkeypatch):
+    seen = {}
+
+    def search(df, columns, marks, s):
+        seen.update(columns=columns, marks=marks, search=s)
+        raise InterruptedError
+
+    monkeypatch.setattr(combos, "search", search)
+    df = catalog.features.table(spark, SF)
+    monkeypatch.setattr(catalog, "_all", lambda s, d: df)
+    for name in ("all_combo_backtest", "all_combo_topn", "all_combo_top_by_direction", "all_combo_best_per_size", "all_combo_top_winrate", "all_combo_funnel", "all_condition_dictionary", "report_documents", "chart_payload"):
+        seen.clear()
+        with pytest.raises(InterruptedError):
+            catalog.QUERIES[name](spark, SF)
+        assert seen["marks"] == signals.SIGNALS and seen["search"] == combos.Search(), name
+        assert {*indicators.INDICATORS, "RSI_14"} <= set(seen["columns"]) and len(seen["columns"]) == 103 and not {"close", "bar", "swing_high_at_pivot"} & set(seen["columns"]), name

@@ -38,7 +38,8 @@ class Search:
 
 def pool_columns(df: DataFrame, never: tuple[str, ...] = ("symbol", "bar", "open", "high", "low", "close", "volume", "swing_high_at_pivot", "swing_low_at_pivot")) -> tuple[list[str], list[str]]:
     """Numeric indicator columns and signal columns, in the order of the table. The two look-ahead pivot columns never take part."""
-    numeric = [n for n, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint") and n.lower() not in never]
+    kinds = ("double", "float", "tinyint", "smallint", "int", "bigint", "boolean", "decimal")
+    numeric = [n for n, t in df.dtypes if t.split("(")[0] in kinds and n.lower() not in never]
     return [c for c in numeric if not c.startswith("sig_")], [c for c in numeric if c.startswith("sig_")]
 
 

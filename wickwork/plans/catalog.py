@@ -210,8 +210,61 @@ add("mask_bitstring", lambda s, d: report.bitstrings(report.masked(_base(s, d),
 _ALL = [*features.BARS, *indicators.INDICATORS, "RSI_14", *signals.STRUCTURE, *PLAIN]
 add("dataset_summary", lambda s, d: report.dataset(features.table(s, d, zoned=False).select(*_ALL)),
     features.query(features.oracle(), f"SELECT count(*) AS n_rows, {len(_ALL)} AS n_columns, CAST(min(ts) AS VARCHAR) AS first_ts, CAST(max(ts) AS VARCHAR) AS last_ts, CAST({' + '.join(f'count(*) - count({c})' for c in _ALL)} AS BIGINT) AS n_missing FROM signalled"))
-add("report_documents", lambda s, d: report.documents(_base(s, d), _searched(s, d)))
-add("chart_payload", lambda s, d: report.payload(_base(s, d), combos.top(_searched(s, d), 20, by_direction=True)))
+
+# --- the whole search: every indicator and structure column, all signals, the default sizes. SQL can't follow the zone signals' folds.
+EVERY = combos.Search()
+
+
+def _all(spark, sf_dir) -> DataFrame:
+    """All columns with the zone signals, kept for the query's several readers."""
+    return features.table(spark, sf_dir, zoned=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _all_pool(spark, sf_dir) -> tuple[DataFrame, list[str], DataFrame]:
+    """The table, the columns that take part, and the pool of their conditions."""
+    df = _all(spark, sf_dir)
+    columns, marks = combos.pool_columns(df)
+    return df, [*columns, *marks], combos.pool(combos.conditions(df, columns, marks, EVERY), EVERY)
+
+
+def _all_levels(df: DataFrame) -> tuple[DataFrame, list[dict]]:
+    return combos.search(df, *combos.pool_columns(df), EVERY)
+
+
+def _all_searched(spark, sf_dir) -> DataFrame:
+    return _all_levels(_all(spark, sf_dir))[0]
+
+
+def _all_dropped(spark, sf_dir) -> DataFrame:
+    return combos.dropped_columns(*_all_pool(spark, sf_dir))
+
+
+def _all_funnel(spark, sf_dir) -> DataFrame:
+    levels = _all_levels(_all(spark, sf_dir))[1]
+    return spark.createDataFrame([(x["size"], int(x["survivors"])) for x in levels if "survivors" in x], "size int, survivors bigint")
+
+
+def _report(spark, sf_dir) -> DataFrame:
+    df = _all(spark, sf_dir)
+    return report.documents(df, _all_levels(df)[0], EVERY)
+
+
+def _chart(spark, sf_dir) -> DataFrame:
+    df = _all(spark, sf_dir)
+    return report.payload(df, combos.top(_all_levels(df)[0], EVERY.console_top_n, by_direction=True), EVERY)
+
+
+add("all_condition_pool_counts", lambda s, d: _all_pool(s, d)[2].select("symbol", "direction", "cond", F.col("rank").cast("int").alias("rank"), "fires"))
+add("all_dropped_columns", _all_dropped)
+add("all_combo_backtest", lambda s, d: _all_searched(s, d).select(*_RESULT))
+add("all_combo_topn", lambda s, d: combos.top(_all_searched(s, d), EVERY.console_top_n).select(*_RESULT))
+add("all_combo_top_by_direction", lambda s, d: combos.top(_all_searched(s, d), 20, by_direction=True).select(*_RESULT, F.col("place").cast("int").alias("place")))
+add("all_combo_best_per_size", lambda s, d: combos.best_per_size(_all_searched(s, d)).select(*_RESULT))
+add("all_combo_top_winrate", lambda s, d: combos.top_win_rate(_all_searched(s, d)).select(*_RESULT))
+add("all_combo_funnel", _all_funnel)
+add("all_condition_dictionary", lambda s, d: report.dictionary(_all_searched(s, d)).select("cond", F.col("number").cast("int").alias("number")))
+add("report_documents", _report)
+add("chart_payload", _chart)
 
 # --- sources
 add("chunk_ranges", lambda s, d: candles.chunk_ranges(s, "2024-01-01", "2024-04-10").select(F.date_format("chunk_start", "yyyy-MM-dd").alias("chunk_start"), F.date_format("chunk_end", "yyyy-MM-dd").alias("chunk_end")),
