@@ -154,3 +154,19 @@ def test_whole_search_takes_every_column_and_signal(spark, monkeypatch):
             catalog.QUERIES[name](spark, SF)
         assert seen["marks"] == signals.SIGNALS and seen["search"] == combos.Search(), name
         assert {*indicators.INDICATORS, "RSI_14"} <= set(seen["columns"]) and len(seen["columns"]) == 103 and not {"close", "bar", "swing_high_at_pivot"} & set(seen["columns"]), name
+
+
+def test_entry_ranks_the_zone_signals_too(spark):
+    import __spark_entry__ as e
+
+    table = catalog.features.table(spark, SF).select("symbol", "bar", "open", "high", "low", "close", *signals.ZONE_SIGNALS).cache()
+    exits = {(r.symbol, r.bar, r.direction): (r.exit_bar, r.g) for r in trades.outcomes(table).collect()}
+    want = {}
+    for r in table.orderBy("symbol", "bar").collect():
+        for name in signals.ZONE_SIGNALS:
+            n, free, equity = want.get((r.symbol, name), (0, -1, 100.0))
+            if r[name] and r.bar >= free and (r.symbol, r.bar, r[name]) in exits:
+                exit_bar, g = exits[r.symbol, r.bar, r[name]]
+                want[r.symbol, name] = n + 1, exit_bar + 1, equity * (1 + g)
+    got = {(r.symbol, r.signal): (r.trades, r.final_equity) for r in e.entry(spark).collect()}
+    assert want and {k: (n, round(x, 2)) for k, (n, _, x) in want.items()} == {k: x for k, x in got.items() if k[1] in signals.ZONE_SIGNALS}

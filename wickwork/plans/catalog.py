@@ -282,5 +282,25 @@ def _from_json(spark, sf_dir) -> DataFrame:
 add("candles_from_json", _from_json, features.query(candles.oracle(), "SELECT symbol, CAST(ts + INTERVAL 330 MINUTE AS VARCHAR) AS ts, open, high, low, close, CASE WHEN bar % 7 > 0 THEN volume ELSE 0 END AS volume FROM candles"))
 
 
+# --- single signals, all 24 of them. The queries above are held against SQL, which can't follow the two zone signals' folds.
+def _all_stats(spark, sf_dir) -> DataFrame:
+    return trades.backtest(_all(spark, sf_dir), signals.SIGNALS)
+
+
+def _all_trades(spark, sf_dir) -> DataFrame:
+    df = _all(spark, sf_dir)
+    out = trades.trade_list(trades.fired(df, signals.SIGNALS), trades.outcomes(df), ["symbol", "signal"])
+    return out.select("symbol", "signal", "bar", "exit_bar", F.round("pnl", 5).alias("pnl"), F.round("equity_after", 5).alias("equity_after"))
+
+
+add("all_signal_totals", lambda s, d: trades.fired(features.table(s, d), signals.SIGNALS).groupBy("symbol", "signal").agg(F.count("*").alias("fires"), F.sum(F.col("direction").cast("bigint")).alias("balance")))
+add("all_signal_stats", lambda s, d: trades.ranked(_all_stats(s, d)).select("symbol", "signal", "trades", *_STATS))
+add("all_profitable_signals", lambda s, d: _all_stats(s, d).filter("total_pnl > 0").select("symbol", "signal", "total_pnl"))
+add("all_best_signal", lambda s, d: trades.ranked(_all_stats(s, d)).limit(1).select("symbol", "signal", "trades", "total_pnl"))
+add("all_signal_trades", _all_trades)
+add("all_no_fee_comparison", lambda s, d: trades.no_fee_comparison(_all(s, d), signals.SIGNALS))
+add("all_dataset_summary", lambda s, d: report.dataset(features.table(s, d)))
+
+
 def flagship(spark, sf_dir) -> DataFrame:
-    return QUERIES["signal_stats"](spark, sf_dir)
+    return QUERIES["all_signal_stats"](spark, sf_dir)
