@@ -207,6 +207,12 @@ def test_op7_lines_against_all_pairs(spark):
     assert out == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
 
 
+def test_op7_takes_short_lines_but_not_wordless_ones(spark):
+    docs = [(1, "Les.\n---\nAnd ornd.\n\n}"), (2, "Les.\n---\nAll rights reserved.\n\n}"), (3, "And ornd.\nAll rights reserved.\nx")]
+    out = {r["doc_id"]: (r["text"], r["__n_removed"]) for r in every(fuzzy_lines.without_repeats(frame(spark, docs)))}
+    assert out == {1: (docs[0][1], 0), 2: ("---\nAll rights reserved.\n\n}", 1), 3: ("x", 2)}
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, few):
     rng = random.Random(13)

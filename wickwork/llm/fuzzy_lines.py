@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash (operator 7).
 
-Lines of `least` characters or more are compared by their character shingles: MinHash signatures (one for each distinct line),
+Lines with a word (a letter or a digit) are compared by their character shingles: MinHash signatures (one for each distinct line),
 banding, exact Jaccard verification and distributed union-find (near_groups). Of each component, and of equal lines, the first
 line by document and place stays; the others go from their texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from .near_groups import band_keys, groups
 from .tools import inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table
 
 #: Characters in a shingle, likeness, coordinates of a signature, coordinates in a band, characters that a line needs to be compared.
-SHINGLE, LIKENESS, WIDTH, ROWS, LEAST = 8, 0.8, 32, 4, 24
+SHINGLE, LIKENESS, WIDTH, ROWS, LEAST = 8, 0.8, 32, 4, 1
+_WORD = re.compile(r"[^\W_]")
 _RNG = np.random.default_rng(20)
 _FACTORS = (_RNG.integers(0, 2**31, WIDTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _TERMS = _RNG.integers(0, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32)
@@ -88,7 +90,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
             ids, numbers, lines, size = [], [], [], 0
             for id_, text in zip(part["id"].tolist(), part["text"], strict=True):
                 for k, line in enumerate(text.split("\n")):
-                    if len(line) >= least:
+                    if len(line) >= least and _WORD.search(line):
                         ids.append(id_)
                         numbers.append(k)
                         lines.append(line)
@@ -125,7 +127,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with repeated lines taken out of the texts; the columns stay, the length column follows the text. And n_lines, n_removed as __n_lines, __n_removed.
 
     Documents need ids; rows without one, and null or empty texts, stay as they are. Repeated rows of one id count as one text, and all of
-    them are cleaned alike. Lines under `least` characters (headings, brackets) aren't compared. Ties can't arise: of alike
+    them are cleaned alike. Lines without a letter or digit (blanks, brackets, rules) aren't compared, nor those under `least` characters. Ties can't arise: of alike
     lines the first by (id, place) stays. A text may end up empty; its row stays. An empty table gives no rows.
     """
     keyed = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
