@@ -213,6 +213,15 @@ def test_op7_takes_short_lines_but_not_wordless_ones(spark):
     assert out == {1: (docs[0][1], 0), 2: ("---\nAll rights reserved.\n\n}", 1), 3: ("x", 2)}
 
 
+def test_op7_finds_one_changed_character_in_lines_of_usual_length():
+    # one character in lines of 40 to 100, away from their ends; each line's characters differ, so that each shingle stands once
+    for n in range(40, 101):
+        line = "".join(chr(0x4E00 + k) for k in range(n))
+        a, b = map(set, (x.tolist() for x in fuzzy_lines.shingle_sets([line, line[: n // 2] + "7" + line[n // 2 + 1 :]])))
+        assert len(a & b) >= fuzzy_lines.LIKENESS * len(a | b), n
+    assert 1 - (1 - fuzzy_lines.LIKENESS**fuzzy_lines.ROWS) ** (fuzzy_lines.WIDTH // fuzzy_lines.ROWS) > 0.9997
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, few):
     rng = random.Random(13)

@@ -19,7 +19,7 @@ from .near_groups import band_keys, groups
 from .tools import inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table
 
 #: Characters in a shingle, likeness, coordinates of a signature, coordinates in a band, characters that a line needs to be compared.
-SHINGLE, LIKENESS, WIDTH, ROWS, LEAST = 8, 0.8, 32, 4, 1
+SHINGLE, LIKENESS, WIDTH, ROWS, LEAST = 4, 0.8, 64, 4, 1
 _WORD = re.compile(r"[^\W_]")
 _RNG = np.random.default_rng(20)
 _FACTORS = (_RNG.integers(0, 2**31, WIDTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
