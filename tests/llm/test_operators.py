@@ -184,6 +184,17 @@ def test_op9_classes_against_all_pairs(spark, blocks):
     assert found == want
 
 
+def test_op9_signs_the_sets_that_it_verifies():
+    rng, agree = random.Random(17), []
+    for _ in range(40):
+        page = words(rng, 150, 10**6)
+        (keys, low), *others = dart_minhash.signatures([page] + [" ".join([page] * k) for k in (2, 3, 4)])
+        for more, other in others:
+            agree.append(sum(x == y for x, y in zip(low, other, strict=True)))
+            assert set(keys.tolist()) & set(more.tolist()) and agree[-1] >= 35
+    assert np.mean(agree) > 0.95 * dart_minhash.WIDTH
+
+
 def test_op9_signatures_estimate_weighted_likeness():
     rng = np.random.default_rng(11)
     hashes = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -1,7 +1,7 @@
 """Near-duplicates by DartMinHash (operator 9).
 
-A document is the weighted set of its shingles of five words, with weight 1 + ln(count). Darts are thrown at a plane: each
-element owns a strip as wide as its weight, and for each unit of a strip's width the darts of a Poisson process
+A document is the set of its shingles of five words, each of weight 1 however often it stands: the likeness that is signed is the one
+that is verified. Darts are thrown at a plane (they take any weights): each element owns a strip as wide as its weight, and for each unit of a strip's width the darts of a Poisson process
 come in an order and at places that only depend on hashes of the element and the unit. A dart hits a document if its place lies
 within the element's weight. Each dart belongs to one coordinate of the signature, and each coordinate keeps its
 earliest hit, so two documents agree in a coordinate with the probability of their weighted Jaccard index. Only the
@@ -103,8 +103,7 @@ def signatures(texts: list[str], width: int = WIDTH, rows: int = ROWS) -> list[t
         first = np.ones(len(hashes), bool)
         first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(first)
-        counts = np.diff(np.append(at, len(hashes)))
-        made = darts(hashes[at], 1 + np.log(np.maximum(counts, 1)), owner[at], n, width)
+        made = darts(hashes[at], np.ones(len(at)), owner[at], n, width)
         keys, low = band_keys(made, rows), made.astype(np.uint8)
         has = np.bincount(owner, minlength=n) > 0
         out += [(keys[k], low[k].tobytes()) if has[k] else (None, b"") for k in range(n)]
