@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_groups import band_keys, groups
-from .tools import inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table, text_bytes, text_of, word_spans
+from .near_groups import Kind, band_keys, bucketed, groups
+from .tools import dropped, inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table, text_bytes, text_of, word_spans
 
 #: Words in a shingle, likeness, coordinates of a signature, coordinates in a band.
 WORDS, LIKENESS, WIDTH, ROWS = 5, 0.8, 64, 4
@@ -40,7 +40,8 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     out = np.zeros(n, np.uint64)
     for k in range(words):
         following = np.zeros(n, np.uint64)
-        following[: n - k] = np.where(owner[k:] == owner[: n - k], word[k:], np.uint64(0))
+        if k < n:
+            following[: n - k] = np.where(owner[k:] == owner[: n - k], word[k:], np.uint64(0))
         out = mixed(out * np.uint64(3) + following + np.uint64(k))
     place = np.arange(n) - np.concatenate([[0], np.cumsum(count)])[owner]
     keep = place <= np.maximum(0, count[owner] - words)
@@ -111,14 +112,16 @@ def signatures(texts: list[str], width: int = WIDTH, rows: int = ROWS) -> list[t
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, **blocks) -> DataFrame:
-    """id, class_id (the least id of its class), n_words, kept (whether it is that id) for each row of docs.
+def keys_of(texts: list[str]) -> list[np.ndarray]:
+    """All band keys of each text."""
+    return [np.zeros(0, np.int64) if keys is None else keys for keys, _ in signatures(texts)]
 
-    Equal texts are one class whatever they hold; beyond that, texts whose sets of lower-case word shingles have a Jaccard
-    index of at least `likeness` are, and what such links connect. Null texts are empty; all empty texts are one class, as are texts of the
-    same blanks. Rows without an id get the least id of their class, or null, and count as kept only then. Repeated rows each
-    have a row. An empty table gives no rows; other columns are ignored, texts are read whole.
-    """
+
+KIND = Kind(keys_of, shingle_sets, WIDTH, LIKENESS)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, **blocks) -> DataFrame:
+    """id, content (hash of the text), n_words, class_id, kept, for each row."""
 
     @F.pandas_udf("keys array<bigint>, signature binary, n_words bigint")
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -127,27 +130,58 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
             made = signatures(rows)
             yield pd.DataFrame({"keys": [k for k, _ in made], "signature": [x for _, x in made], "n_words": [len(x.split()) for x in rows]})
 
-    rows = stored(docs.select(F.col(id_col).cast("bigint").alias("id"), F.md5(text_of(text_col).cast("binary")).alias("content"), F.length(text_of(text_col)).alias("chars"), sign(text_of(text_col)).alias("s")).select("id", "content", "chars", "s.*"))
-    copies = stored(rows.groupBy("content").agg(F.min("id").alias("first"), F.max(F.struct("signature", "keys", "chars")).alias("s")).select("content", "first", "s.*"))
-    items = copies.filter("first is not null and keys is not null").select(F.col("first").alias("id"), "keys", "signature", "chars")
-    repeated = rows.count() != rows.select("id").distinct().count()
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).withColumn("content", F.md5(F.col("text").cast("binary")))
+    rows = stored(keyed.select("id", "content", F.monotonically_increasing_id().alias("row"), sign("text").alias("s")).select("id", "content", "row", "s.*"))
+    place = F.struct(F.col("id").isNull().alias("lacks"), "id", "row")  # rows without an id come last
+    copies = stored(rows.groupBy("content").agg(F.min(place).alias("first"), F.max(F.struct("signature", "keys")).alias("s")).select(F.monotonically_increasing_id().alias("node"), "content", "first", "s.*"))
+    shared = stored(bucketed(copies.filter("keys is not null").select(F.col("node").alias("id"), "keys")))
+    wanted = stored(copies.join(shared.select(F.col("id").alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi").select("node", F.col("content").alias("__content"), F.col("first.id").alias("__id"), "signature"))
+    # Of equal texts only the first one's row is read; rows without an id have no other name than their text.
+    at = sifted(keyed, wanted.select(F.col("__id").alias("id"), F.col("__content").alias("content")), "id", "content").join(wanted.hint("shuffle_hash"), (F.col("content") == F.col("__content")) & F.col("id").eqNullSafe(F.col("__id")))
+    items = stored(at.select(F.col("node").alias("id"), "text", "signature").dropDuplicates(["id"]))
+    found = groups(shared, items, KIND, **blocks)
+    for x in (shared, wanted, items):
+        dropped(x)
+    united = copies.select("node", "first").join(found.withColumnRenamed("id", "node"), "node")
+    least = united.groupBy("root").agg(F.min("first").alias("best"))
+    named = copies.select("node", "content", "first").join(united.select("node", "root").join(least, "root").select("node", "best"), "node", "left").select("content", F.coalesce("best", "first").alias("best"))
+    named = stored(named)
+    out = rows.join(named, "content").select("id", "content", "n_words", F.col("best.id").alias("class_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+    for x in (copies, found):
+        dropped(x)
+    return out
 
-    def texts(ids: DataFrame) -> DataFrame:
-        found = sifted(docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")), ids).join(ids.hint("shuffle_hash"), "id", "left_semi")
-        return found.groupBy("id").agg(F.max("text").alias("text")) if repeated else found
 
-    found = groups(items.dropDuplicates(["id"]), texts, shingle_sets, WIDTH, likeness, **blocks)
-    named = copies.select("content", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("content", F.coalesce("root", "first").alias("class_id"))
-    return rows.join(named, "content").select(F.col("id").alias(id_col), "class_id", "n_words", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **blocks) -> DataFrame:
+    """id, class_id (the least id of its class), n_words, kept (true for one row of each class, of least id) for each row of docs.
+
+    Equal texts are one class whatever they hold; beyond that, texts whose sets of lower-case word shingles have a Jaccard
+    index of at least LIKENESS are, and what such links connect. Null texts are empty; all empty texts are one class, as are texts of the
+    same blanks. Texts, not ids, are compared: different texts of one id may be of different classes, and rows that repeat an id and
+    a text have a row each, one of which is kept at most. Rows without an id are compared too; a class of such rows alone has
+    a null class_id and keeps one. An empty table gives no rows; other columns are ignored, texts are read whole.
+    """
+    return _classed(docs, id_col, text_col, **blocks).select(F.col("id").alias(id_col), "class_id", "n_words", "kept")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns: one document of each class; of repeated rows of one id, one."""
-    found = stored(classes(docs, id_col, text_col))
-    keep = found.filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    out = docs.join(keep, docs[id_col].cast("bigint") == keep["__id"], "left_semi")
-    if found.count() != found.select(id_col).distinct().count():
-        out = out.dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **blocks) -> DataFrame:
+    """The rows of docs that stay, with docs' columns: one row of each class, also where ids are null, repeat or have several texts.
+
+    Only rows that may go are moved: the rest passes a filter of bounded size.
+    """
+    found = stored(_classed(docs, id_col, text_col, **blocks))
+    # An id with a text stays if one of its rows does; of its repeated rows one is left.
+    gone = stored(found.groupBy("id", "content").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
+    names = {"id": "__id", "content": "__content"}
+    marked = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__content": F.md5(text_of(text_col).cast("binary"))})
+    keys = gone.select(*(F.col(a).alias(b) for a, b in names.items()))
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__content"] == b["__content"])
+    near = sifted(marked, keys, *names.values())
+    out = sifted(marked, keys, *names.values(), rest=True).unionByName(near.join(keys.hint("shuffle_hash"), same(near, keys), "left_anti"))
+    repeated = gone.filter("kept")
+    if not repeated.isEmpty():
+        again = repeated.select(*(F.col(a).alias(b) for a, b in names.items()))
+        out = out.unionByName(near.join(again.hint("shuffle_hash"), same(near, again), "left_semi").dropDuplicates(list(names.values())))
     return out.select(*docs.columns)
 
 

@@ -1,8 +1,13 @@
 """Fuzzy line dedup by MinHash (operator 7).
 
-Lines with a word (a letter or a digit) are compared by their character shingles: MinHash signatures (one for each distinct line),
-banding, exact Jaccard verification and distributed union-find (near_groups). Of each component, and of equal lines, the first
-line by document and place stays; the others go from their texts.
+Lines with a word (a letter or a digit) are alike if the sets of their shingles of 4 characters have a Jaccard index of 0.8 or more.
+They meet by MinHash signatures (one for each distinct line of a task) and banding (near_groups): signatures are over longer shingles, of
+8 characters, as these keep unlike lines apart much better: of prose in one language two lines of 400 characters share a tenth
+of their 4-character shingles, but one in 300 of the longer ones. An isolated edit breaks twice as many longer shingles as
+short ones, so alike lines keep an index of 0.59 or more of the longer ones, which BANDS bands of ROWS coordinates find with a
+probability over 0.998. Lines with few different shingles, where that doesn't hold, are signed by the short ones; lines near the
+border by both, so that two alike lines always have a sort in common. Then exact Jaccard verification and distributed
+union-find. Of each component, and of equal lines, the first line by document and place stays; the others go from their texts.
 """
 
 from __future__ import annotations
@@ -12,18 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_groups import band_keys, groups
-from .tools import inverse_powers, mixed, prefix_sums, sifted, span_hashes, stored, table
+from .near_groups import RANGE_ENTRIES, RUNS, Kind, band_keys, groups, merged_runs, packed_runs
+from .tools import dropped, inverse_powers, prefix_sums, sifted, span_hashes, stored, table
 
-#: Characters in a shingle, likeness, coordinates of a signature, coordinates in a band, characters that a line needs to be compared.
-SHINGLE, LIKENESS, WIDTH, ROWS, LEAST = 4, 0.8, 64, 4, 1
+#: Characters in a shingle that likeness counts, likeness, and coordinates of the signature that screens candidates.
+SHINGLE, LIKENESS, WIDTH = 4, 0.8, 64
+#: Characters in a shingle that bands are made of, bands, coordinates in a band; different shingles below which short ones are signed.
+LONG, BANDS, ROWS, FEW = 8, 28, 3, 40
+#: Lines of a task that are known to be signed already, and lines in a run.
+SEEN, RUN_LINES = 200_000, 50_000
 _WORD = re.compile(r"[^\W_]")
+#: The same for Spark.
+HAS_WORD = r"[\p{L}\p{N}]"
 _RNG = np.random.default_rng(20)
-_FACTORS = (_RNG.integers(0, 2**31, WIDTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
-_TERMS = _RNG.integers(0, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32)
+_FACTORS = (_RNG.integers(0, 2**31, max(WIDTH, BANDS * ROWS), dtype=np.uint64) * 2 + 1).astype(np.uint32)
 
 
 def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -43,96 +54,162 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """lines x WIDTH of uint32."""
-    out = np.zeros((len(lines), WIDTH), np.uint32)
+def _parts(lines: list[str], most: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of about `most` characters, or one line."""
     start = 0
     while start < len(lines):
         stop, size = start, 0
-        while stop < len(lines) and (stop == start or size + len(lines[stop]) <= 100_000):
+        while stop < len(lines) and (stop == start or size + len(lines[stop]) <= most):
             size += len(lines[stop])
             stop += 1
-        hashes, first = shingles(lines[start:stop])
-        small = (hashes >> np.uint64(32)).astype(np.uint32)
-        for j in range(WIDTH):
-            x = (small ^ _TERMS[j]) * _FACTORS[j]
-            out[start:stop, j] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), first[:-1])
+        yield start, stop
         start = stop
+
+
+def minima(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """MinHash signatures, sets x width of uint32: the least hash under multiplication by each of `width` odd factors."""
+    small = (hashes >> np.uint64(32)).astype(np.uint32)
+    out, buffer = np.zeros((len(first) - 1, width), np.uint32), np.zeros_like(small)
+    for j in range(width):
+        np.multiply(small, _FACTORS[j], out=buffer)
+        out[:, j] = np.minimum.reduceat(buffer, first[:-1])
+    return out ^ (out >> np.uint32(15))
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """lines x WIDTH of uint8, over the short shingles: what screening compares."""
+    out = np.zeros((len(lines), WIDTH), np.uint8)
+    for a, b in _parts(lines):
+        out[a:b] = minima(*shingles(lines[a:b]), WIDTH).astype(np.uint8)
     return out
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """id, line (from 0), h (its hash), keys, signature for each line that is compared; a line that the task has just met lacks the last two."""
+def different(hashes: np.ndarray, first: np.ndarray, most: int = 2 * FEW) -> np.ndarray:
+    """How many different shingles each line has; lines with FEW or more among their first `most` aren't counted further."""
+    n, spot = len(first) - 1, np.arange(most)
+    inside = first[:-1, None] + spot < first[1:, None]
+    head = np.sort(np.where(inside, hashes[np.minimum(first[:-1, None] + spot, len(hashes) - 1)], hashes[first[:-1]][:, None]), axis=1)
+    count = 1 + (head[:, 1:] != head[:, :-1]).sum(1)
+    for k in np.flatnonzero((count < FEW) & (np.diff(first) > most)).tolist():
+        count[k] = len(np.unique(hashes[first[k] : first[k + 1]]))
+    return count.reshape(n)
+
+
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (int64, rows x BANDS) and the line that each row belongs to: each line has one or two rows."""
+    keys, owner = [np.zeros((0, BANDS), np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _parts(lines):
+        part = lines[a:b]
+        short, first = shingles(part)
+        count = different(short, first)
+        for kind, picked in ((0, np.flatnonzero(count >= LIKENESS * FEW)), (1, np.flatnonzero(count < FEW))):
+            if len(picked):
+                hashes = shingles([part[k] for k in picked.tolist()], SHINGLE if kind else LONG)
+                keys.append(band_keys(minima(*hashes, BANDS * ROWS), ROWS, kind))
+                owner.append(a + picked)
+    return np.concatenate(keys), np.concatenate(owner)
+
+
+def keys_of(lines: list[str]) -> list[np.ndarray]:
+    """All band keys of each line."""
+    keys, owner = line_keys(lines)
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(len(lines) + 1))
+    return [keys[order[a:b]].ravel() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+KIND = Kind(keys_of, shingle_sets, WIDTH, LIKENESS)
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """id, c, line (from 0), h1, h2 (128 bits of hash) of each line with a word of docs (id, c, text)."""
+    split = docs.select("id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.col("x").rlike(HAS_WORD))
+    return split.select("id", "c", "line", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
+
+
+def _runs_of(docs: DataFrame, ranges: int) -> DataFrame:
+    """Packed runs of band keys of the lines of docs (text); an entry's id is h1. A task signs a line that it meets again only once in a while."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        new: dict[int, str] = {}
+        size = 0
 
-        def made(ids: list, numbers: list, lines: list) -> pd.DataFrame:
-            raw = [x.encode() for x in lines]
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-            h = mixed(span_hashes(prefix_sums(data), at[:-1], at[1:], inverse_powers(len(data) + 1))).view(np.int64)
-            new = []
-            for k, x in enumerate(h.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    new.append(k)
-            if len(seen) > 200_000:
-                seen.clear()
-            keys, low = np.full(len(lines), None, object), np.full(len(lines), None, object)
-            if new:
-                full = signatures([lines[k] for k in new])
-                for k, a, b in zip(new, band_keys(full, ROWS), full.astype(np.uint8), strict=True):
-                    keys[k], low[k] = a, b.tobytes()
-            return pd.DataFrame({"id": ids, "line": numbers, "h": h, "chars": [len(x) for x in lines], "keys": keys, "signature": low})
+        def made() -> pd.DataFrame:
+            keys, owner = line_keys(list(new.values()))
+            ids = np.fromiter(new, np.uint64, len(new)).view(np.int64)
+            return packed_runs(keys.ravel(), np.repeat(ids[owner], BANDS), ranges)
 
         for part in parts:
-            ids, numbers, lines, size = [], [], [], 0
-            for id_, text in zip(part["id"].tolist(), part["text"], strict=True):
-                for k, line in enumerate(text.split("\n")):
-                    if len(line) >= least and _WORD.search(line):
-                        ids.append(id_)
-                        numbers.append(k)
-                        lines.append(line)
-                        size += len(line)
-                        if size > 1_000_000:
-                            yield made(ids, numbers, lines)
-                            ids, numbers, lines, size = [], [], [], 0
-            if lines:
-                yield made(ids, numbers, lines)
-
-    return docs.mapInPandas(run, "id bigint, line int, h bigint, chars int, keys array<bigint>, signature binary")
-
-
-def doomed(docs: DataFrame, likeness: float = LIKENESS, least: int = LEAST, **blocks) -> DataFrame:
-    """id, lines: for each text (id, text) the numbers of the lines that go, for texts that lose some."""
-    rows = stored(lines_of(docs, least))
-    # one row for each distinct line: where it first stands
-    nodes = stored(rows.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).select("h", "first.*", "n"))
+            for text in part["text"]:
+                for line in text.split("\n"):
+                    if _WORD.search(line):
+                        h = xxhash.xxh64_intdigest(line.encode(), 42)
+                        if h not in seen and h not in new:
+                            new[h] = line
+                            size += len(line)
+                    if len(new) >= RUN_LINES or size > 40_000_000:
+                        yield made()
+                        seen.update(new)
+                        new, size = {}, 0
+                        if len(seen) > SEEN:
+                            seen.clear()
+        yield made()
+
+    return docs.select("text").mapInPandas(run, RUNS)
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """rows (id, text) with signatures."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(signature=[x.tobytes() for x in signatures(part["text"].tolist())])
+
+    return rows.mapInPandas(run, "id bigint, text string, signature binary")
 
-    def texts(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids.distinct().withColumnRenamed("id", "h"), "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))
-        split = sifted(docs, wanted).join(wanted.hint("shuffle_hash"), "id").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
-        return split.select(F.col("w.h").alias("id"), F.get("all", F.col("w.line")).alias("text")).dropDuplicates(["id"])
 
-    found = groups(rows.filter("keys is not null").select(F.col("h").alias("id"), "keys", "signature", "chars"), texts, shingle_sets, WIDTH, likeness, **blocks)
-    groups_ = nodes.select("h", "id", "line", "n").join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    keepers = groups_.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"), F.sum("n").alias("n")).filter("n > 1")
-    marked = groups_.select("h", "root").join(keepers.drop("n"), "root").select("h", "keep")
-    gone = rows.select("id", "line", "h").join(marked, "h").filter((F.col("id") != F.col("keep.id")) | (F.col("line") != F.col("keep.line")))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+def doomed(docs: DataFrame, **blocks) -> DataFrame:
+    """id, c, lines (stored): for each text (id, c: hash of the text, text) the numbers of the lines that go, for texts that lose some."""
+    rows = stored(lines_of(docs))
+    # one row for each distinct line: where it first stands
+    nodes = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "c", "line")).alias("first"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first", "n"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stored(merged_runs(_runs_of(docs, max(4 * partitions, nodes.count() * BANDS // RANGE_ENTRIES))))
+    # A hash of 64 bits may stand for several lines: each gets an id of its own, and verification compares their texts.
+    wanted = stored(nodes.join(met.select(F.col("id").alias("h1")).distinct().hint("shuffle_hash"), "h1", "left_semi").select("node", "h1", "first"))
+    shared = stored(met.join(wanted.select(F.col("h1").alias("id"), "node").hint("shuffle_hash"), "id").select("key", F.col("node").alias("id")))
+    dropped(met)
+    places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
+    at = sifted(docs, places, "id", "c").join(places.withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (docs["c"] == places["c"]))
+    split = at.select(docs["id"], docs["c"], F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+    items = stored(_signed(split.select(F.col("w.node").alias("id"), F.get("all", F.col("w.line")).alias("text")).dropDuplicates(["id"])))
+    found = groups(shared, items, KIND, **blocks)
+    for x in (wanted, shared, items):
+        dropped(x)
+    classes = stored(nodes.join(found.withColumnRenamed("id", "node"), "node", "left").filter("root is not null or n > 1").select("h1", "h2", "first", F.coalesce("root", "node").alias("root")))
+    keepers = classes.groupBy("root").agg(F.min("first").alias("keep")).select("keep.*")
+    repeats = rows.join(classes.select("h1", "h2"), ["h1", "h2"], "left_semi").select("id", "c", "line")
+    kept = keepers.select(F.col("id").alias("__id"), F.col("c").alias("__c"), F.col("line").alias("__line"))
+    gone = repeats.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("c") == F.col("__c")) & (F.col("line") == F.col("__line")), "left_anti")
+    out = stored(gone.groupBy("id", "c").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    for x in (rows, nodes, found, classes):
+        dropped(x)
+    return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", likeness: float = LIKENESS, least: int = LEAST, **blocks) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **blocks) -> DataFrame:
     """docs with repeated lines taken out of the texts; the columns stay, the length column follows the text. And n_lines, n_removed as __n_lines, __n_removed.
 
-    Documents need ids; rows without one, and null or empty texts, stay as they are. Repeated rows of one id count as one text, and all of
-    them are cleaned alike. Lines without a letter or digit (blanks, brackets, rules) aren't compared, nor those under `least` characters. Ties can't arise: of alike
-    lines the first by (id, place) stays. A text may end up empty; its row stays. An empty table gives no rows.
+    Null and empty texts stay as they are. Rows that repeat an id and its text count as one text, and all of them are cleaned alike;
+    different texts of one id are texts of their own. Rows without an id come first. Lines without a letter or digit (blanks,
+    brackets, rules) aren't compared. Ties can't arise: of alike lines the first by (id, hash of the text, place) stays. A
+    text may end up empty; its row stays. An empty table gives no rows.
     """
-    keyed = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    gone = stored(doomed(keyed, likeness, least, **blocks).select(F.col("id").alias("__id"), F.col("lines").alias("__gone")))
-    out = docs.join(gone, docs[id_col].cast("bigint") == gone["__id"], "left").drop("__id")
+    keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("c", F.xxhash64("text"))
+    gone = doomed(keyed, **blocks).select(F.col("id").alias("__id"), F.col("c").alias("__c"), F.col("lines").alias("__gone"))
+    marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
+    out = marked.join(gone.hint("shuffle_hash"), F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__c")), "left").drop("__id", "__c", "__hash")
     out = out.withColumn("__all", F.split(text_col, "\n", -1))
     kept = F.array_join(F.filter("__all", lambda x, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("__n_lines", F.coalesce(F.size("__all"), F.lit(0))).withColumn("__n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0))))

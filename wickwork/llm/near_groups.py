@@ -1,12 +1,13 @@
 """From signatures to groups of near-duplicates: banding, exact verification, distributed union-find.
 
-Items have a bigint id, the keys of their bands, a signature (the low byte of each of `width` coordinates) and, where it comes to that, a text. All steps
+Items have a unique bigint id, band keys, a signature (the low byte of each coordinate) and a text. All steps
 are joins and sums on even keys; no group of items, however large, meets in one task:
 
-1. Banding. Items that share a band's key are candidates; their signatures are compared. No pairs are emitted but the few that connect
-   what is alike: a small bucket is looked through in memory; of a large one all members are held against one, and those that it
-   doesn't resemble travel to blocks of the bucket.
-2. What signatures call alike is united into clusters (distributed union-find over edges).
+1. Banding. Items that share a band's key are a bucket; `bucketed` finds the buckets from exploded keys, `merged_runs` from packed
+   runs of keys. Buckets with the same members (of several bands) count once.
+2. Screening. Signatures of a bucket's members are compared. No pairs are emitted but the few that connect
+   what is alike: all members are held against one of them; a small bucket's others are looked through in memory, those of
+   a large one travel to blocks of the bucket. What signatures call alike is united into clusters (distributed union-find over edges).
 3. Exact verification by Jaccard's index of the texts' shingles. A cluster is cut into blocks of bounded size. Inside a block
    each item is compared with those it shares a band with, and no more with a component once it is in it. Then items outside a
    cluster's largest component travel to its other blocks: any link between two components has such an end.
@@ -16,6 +17,7 @@ are joins and sums on even keys; no group of items, however large, meets in one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,12 +25,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .tools import dropped, mixed, stored
+from .tools import attached, dropped, mixed, stored
 
 #: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
+#: Members of a group that are compared with all others there, whether they share a band or not.
+FEW = 12
 #: Edges that are united in one task (16 bytes each); more go through distributed steps.
 FEW_EDGES = 500_000
+#: Entries (of 12 bytes) that a range of band keys aims at.
+RANGE_ENTRIES = 1_000_000
+
+
+class _Union:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
 
 
 def _united(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,13 +63,15 @@ def _united(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
-    """id, root: for each node of edges (a, b: bigint) the least node of its component.
+    """id, root (stored): for each node of edges (a, b: bigint) the least node of its component.
 
     Alternates large-star and small-star steps until nothing changes. At most `few` edges, by count, are united in one task instead, of bounded size.
     """
     now = stored(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if now.count() <= few:
-        return now.coalesce(1).mapInPandas(_united, "id bigint, root bigint")
+        out = stored(now.coalesce(1).mapInPandas(_united, "id bigint, root bigint"))
+        dropped(now)
+        return out
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -63,17 +86,85 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         new = stored(small)
         dropped(now)
         now = new
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("id")).distinct().withColumn("root", F.col("id"))).distinct()
+    out = stored(now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("id")).distinct().withColumn("root", F.col("id"))).distinct())
+    dropped(now)
+    return out
 
 
-def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
-    """items x bands of int64, from items x width of uint32."""
+def band_keys(signatures: np.ndarray, rows: int, kind: int = 0) -> np.ndarray:
+    """items x bands of int64, from items x width of uint32; keys of different kinds don't meet."""
     n, width = signatures.shape
     keys = np.zeros((n, width // rows), np.uint64)
     parts = signatures.astype(np.uint64).reshape(n, width // rows, rows)
     for k in range(rows):
         keys = mixed(keys * np.uint64(3) + parts[:, :, k] + np.uint64(k + 1))
-    return mixed(keys + np.arange(width // rows, dtype=np.uint64)[None, :]).view(np.int64)
+    return mixed(keys + np.arange(width // rows, dtype=np.uint64)[None, :] + np.uint64(kind * 1000)).view(np.int64)
+
+
+def bucketed(items: DataFrame) -> DataFrame:
+    """key, id of the members of all buckets of more than one item, from items (id, keys: array of bigint)."""
+    banded = items.select("id", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    return banded.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()
+
+
+def packed_runs(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pd.DataFrame:
+    """A run for each range of keys: range, keys (4 bytes each, in order), ids (8 bytes each), of entries (key, id) as arrays of int64."""
+    wide = keys.view(np.uint64)
+    number = (wide >> np.uint64(32)) % np.uint64(ranges)
+    low = wide.astype(np.uint32)
+    order = np.argsort((number << np.uint64(32)) | low)
+    number, low, ids = number[order].astype(np.int64), low[order], ids[order]
+    cuts = np.flatnonzero(np.diff(number)) + 1
+    bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True)) if len(number) else []
+    return pd.DataFrame({"range": [int(number[a]) for a, _ in bounds], "keys": [low[a:b].tobytes() for a, b in bounds], "ids": [ids[a:b].tobytes() for a, b in bounds]})
+
+
+RUNS = "range int, keys binary, ids binary"
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """key, id of the members of all buckets of more than one item, from packed runs; buckets with the same members have the same key.
+
+    A key has 32 bits inside its range: the few buckets that so become one are told apart by screening.
+    """
+
+    def found(rows: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+        keys, ids = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in rows]), np.concatenate([np.frombuffer(i, np.int64) for _, i in rows])
+        order = np.argsort(keys)
+        keys = keys[order]
+        same = np.zeros(len(keys) + 1, bool)
+        same[1:-1] = keys[1:] == keys[:-1]
+        met = same[1:] | same[:-1]  # most keys have one entry
+        keys, ids = keys[met], ids[order[met]]
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[fresh], ids[fresh]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(keys)))
+        if not len(keys):
+            return pd.DataFrame({"key": keys.astype(np.int64), "id": ids})
+        total = mixed(np.add.reduceat(mixed(ids.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
+        many = np.repeat(sizes > 1, sizes)
+        return pd.DataFrame({"key": np.repeat(total, sizes)[many], "id": ids[many]})
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, rows = None, []
+        for part in parts:
+            for now, k, i in zip(part["range"].tolist(), part["keys"], part["ids"], strict=True):
+                if now != number:
+                    if rows:
+                        yield found(rows)
+                    number, rows = now, []
+                rows.append((k, i))
+        if rows:
+            yield found(rows)
+
+    return runs.repartition("range").sortWithinPartitions("range").mapInPandas(merge, "key bigint, id bigint").distinct()
 
 
 @F.pandas_udf(IntegerType())
@@ -85,109 +176,125 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == np.frombuffer(b"".join(b), np.uint8).reshape(len(a), -1)).sum(1).astype(np.int32))
 
 
-def _alike(rows: list[tuple], least: int) -> list[tuple[int, int]]:
-    """Pairs (id, id) that connect what agrees in `least` places among (id, signature, traveller); pairs of two residents don't count."""
-    rows = sorted(rows, key=lambda r: (r[2], r[0]))
-    made = np.array([np.frombuffer(r[1], np.uint8) for r in rows])
+def _alike(ids: list[int], made: np.ndarray, travels: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs (id, id) that connect what agrees in `least` places; pairs of two residents don't count."""
+    order = np.lexsort((ids, travels))
+    ids, made, travels = [ids[k] for k in order], made[order], travels[order]
     known: dict[int, int] = {}  # a traveller may also be among the residents
-    labels, out = np.array([known.setdefault(r[0], i) for i, r in enumerate(rows)]), []
-    for i in range(sum(not r[2] for r in rows), len(rows)):
+    labels, out = np.array([known.setdefault(x, i) for i, x in enumerate(ids)]), []
+    for i in range(int((~travels).sum()), len(ids)):
         hits = np.flatnonzero((made[:i] == made[i]).sum(1) >= least)
         met, first = np.unique(labels[hits], return_index=True)
         for label, j in zip(met.tolist(), hits[first].tolist(), strict=True):
             if label != labels[i]:
-                out.append((rows[i][0], rows[j][0]))
+                out.append((ids[i], ids[j]))
                 labels[labels == label] = labels[i]
     return out
 
 
-def _in_groups(rows: DataFrame, keys: list[str], columns: list[str], work: Callable) -> DataFrame:
-    """a, b from work(rows of one group, as tuples of `columns`); groups come one after another in sorted partitions."""
+def _in_groups(rows: DataFrame, keys: list[str], columns: list[str], work: Callable[[pd.DataFrame, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """a, b from work(rows of whole groups, where each group starts); groups come one after another in sorted partitions."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, group = None, []
+        def made(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+            part = part.reset_index(drop=True)
+            new = np.ones(len(part), bool)
+            new[1:] = (part[keys].to_numpy()[1:] != part[keys].to_numpy()[:-1]).any(1)
+            return part, np.flatnonzero(new)
+
+        left: list[pd.DataFrame] = []  # of a group that may go on
         for part in parts:
-            found = []
-            for now, row in zip(part[keys].itertuples(index=False, name=None), part[columns].itertuples(index=False, name=None), strict=True):
-                if now != key:
-                    if len(group) > 1:
-                        found += work(group)
-                    key, group = now, []
-                group.append(row)
-            yield pd.DataFrame(found, columns=["a", "b"])
-        yield pd.DataFrame(work(group) if len(group) > 1 else [], columns=["a", "b"])
+            if not len(part):
+                continue
+            part, starts = made(part)
+            if left and len(starts) == 1 and (left[0][keys].to_numpy()[0] == part[keys].to_numpy()[0]).all():
+                left.append(part)
+                continue
+            now, starts = made(pd.concat([*left, part]))
+            left = [now.iloc[starts[-1] :]]
+            if len(starts) > 1:
+                yield pd.DataFrame(work(now.iloc[: starts[-1]], starts[:-1]), columns=["a", "b"])
+        if left:
+            yield pd.DataFrame(work(*made(pd.concat(left))), columns=["a", "b"])
 
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
 
 
-def candidates(items: DataFrame, width: int, likeness: float, members: int = MEMBERS) -> DataFrame:
+def candidates(shared: DataFrame, signed: DataFrame, width: int, likeness: float, members: int = MEMBERS) -> DataFrame:
     """a, b: pairs whose signatures agree in as many places as a pair of that likeness nearly always does, enough of them to connect all such pairs of a bucket.
 
-    items: id, keys, signature, chars (length of the text); of an id's rows, which must be alike, some may lack keys. In a bucket of more than `members`, all are held
+    shared: key, id (stored); signed: id, signature for each id there. In a bucket of more than `members`, all are held
     against one of them; what it doesn't resemble travels to blocks of the bucket and is held against all members there.
     """
     least = int(width * likeness - 5 * np.sqrt(width * likeness * (1 - likeness)))
-    banded = items.select("id", F.explode("keys").alias("key"))
-    counted = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    pairs = stored(banded.join(counted.filter("low <> high").select("key"), "key").distinct())
-    sizes = pairs.groupBy("key").agg(F.min(F.xxhash64("id", "key")).alias("pick"), F.count("*").alias("n"))
-    signed = items.filter("keys is not null").select("id", "signature").join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    shared = stored(pairs.join(sizes, "key").join(signed, "id").select("key", "id", "signature", "pick", "n"))
-    dropped(pairs)
-    columns, keys, work = ["id", "signature", "traveller"], ["key", "block", "party"], lambda group: _alike(group, least)
-    small = shared.filter(F.col("n") <= members).withColumns({"block": F.lit(0), "party": F.lit(0), "traveller": F.lit(True)})
-    out = _in_groups(small, keys, columns, work)
-    large = shared.filter(F.col("n") > members)
-    if not large.isEmpty():
-        heads = large.filter(F.xxhash64("id", "key") == F.col("pick")).groupBy("key").agg(F.min(F.struct("id", "signature")).alias("head"))
-        star = stored(large.join(heads, "key").filter("id <> head.id").withColumn("alike", agreement("signature", "head.signature") >= least).select("key", "id", "signature", "n", F.col("head.id").alias("b"), "alike"))
-        left = star.filter("not alike")
-        parties = left.groupBy("key").agg(F.ceil(F.count("*") / members).cast("int").alias("parties"))
-        blocks = F.ceil(F.col("n") / members).cast("int")
-        going = left.join(parties, "key").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("traveller", F.lit(True))
-        staying = large.join(parties, "key").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("traveller", F.lit(False))
-        both = [*keys, *columns]
-        out = out.unionByName(star.filter("alike").select(F.col("id").alias("a"), "b")).unionByName(_in_groups(going.select(*both).unionByName(staying.select(*both)), keys, columns, work))
-    return out.distinct()
-
 
-class _Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while self.up.get(x, x) != x:
-            self.up[x] = self.up.get(self.up[x], self.up[x])
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-
-
-def _links(group: list[tuple], elements: Callable, likeness: float, cross: bool) -> list[tuple[int, int]]:
-    """Verified links that connect what is alike among (id, keys, text, label, traveller); across components of `label` only.
-
-    cross: only pairs of a traveller and a resident count.
-    """
-    if len(group) < 2:
-        return []
-    order = sorted(range(len(group)), key=lambda i: (group[i][4], group[i][0]))
-    shingles: dict[int, frozenset] = {}
+    def screened(part: pd.DataFrame, starts: np.ndarray) -> list[tuple[int, int]]:
+        sizes = np.diff(np.append(starts, len(part)))
+        ids, travels = part["id"].to_numpy(), part["traveller"].to_numpy(bool)
+        made = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(len(part), -1)
+        head = np.repeat(starts, sizes)
+        like = (made == made[head]).sum(1) >= least
+        all_travel = np.minimum.reduceat(travels, starts) if len(starts) else travels[:0]
+        whole = np.minimum.reduceat(like, starts) & all_travel if len(starts) else like[:0]  # all are like the first
+        easy = np.repeat(whole, sizes) & (np.arange(len(part)) != head)
+        out = list(zip(ids[easy].tolist(), ids[head[easy]].tolist(), strict=True))
+        for a, n in zip(starts[~whole & (sizes > 2) | ~whole & ~all_travel].tolist(), sizes[~whole & (sizes > 2) | ~whole & ~all_travel].tolist(), strict=True):
+            out += _alike(ids[a : a + n].tolist(), made[a : a + n], travels[a : a + n], least)
+        return out
+
+    counts = shared.groupBy("key").agg(F.min(F.xxhash64("id", "key")).alias("pick"), F.count("*").alias("n"))
+    full = shared.join(counts.filter(F.col("n") > members).hint("shuffle_hash"), "key", "left").join(signed, "id").select("key", "id", "signature", "pick", "n")
+    full = stored(full)
+    columns, keys = ["id", "signature", "traveller"], ["key", "block", "party"]
+    small = full.filter("n is null").withColumns({"block": F.lit(0), "party": F.lit(0), "traveller": F.lit(True)})
+    out = _in_groups(small, keys, columns, screened)
+    large = full.filter("n is not null")
+    if large.isEmpty():
+        pairs = stored(out.distinct())
+        dropped(full)
+        return pairs
+    heads = large.filter(F.xxhash64("id", "key") == F.col("pick")).groupBy("key").agg(F.min(F.struct("id", "signature")).alias("head"))
+    star = stored(attached(large, heads, "key").filter("id <> head.id").withColumn("alike", agreement("signature", "head.signature") >= least).select("key", "id", "signature", "n", F.col("head.id").alias("b"), "alike"))
+    left = star.filter("not alike")
+    parties = stored(left.groupBy("key").agg(F.ceil(F.count("*") / members).cast("int").alias("parties")))
+    blocks = F.ceil(F.col("n") / members).cast("int")
+    going = attached(left, parties, "key").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("traveller", F.lit(True))
+    staying = attached(large, parties, "key").filter("parties is not null").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("traveller", F.lit(False))
+    both = [*keys, *columns]
+    out = out.unionByName(star.filter("alike").select(F.col("id").alias("a"), "b")).unionByName(_in_groups(going.select(*both).unionByName(staying.select(*both)), keys, columns, screened))
+    pairs = stored(out.distinct())
+    for x in (full, star, parties):
+        dropped(x)
+    return pairs
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What makes items alike: band keys and shingle hashes of texts (lists of arrays), screening signature and exact likeness."""
+
+    keys: Callable[[list[str]], list[np.ndarray]]
+    elements: Callable[[list[str]], list[np.ndarray]]
+    width: int
+    likeness: float
+
+
+def _links(ids: list, texts: list[str], labels: list, travels: list[bool], kind: Kind, cross: bool) -> list[tuple[int, int]]:
+    """Verified links that connect what is alike in a group; across components of `labels` only. cross: only pairs of a traveller and a resident count."""
+    likeness, n = kind.likeness, len(ids)
+    keys = [x.tolist() for x in kind.keys(texts)] if n > FEW else [[0]] * n
+    sets: list = [None] * n
 
     def of(i: int) -> frozenset:
-        if i not in shingles:
-            shingles[i] = frozenset(elements([group[i][2]])[0].tolist())
-        return shingles[i]
+        if sets[i] is None:
+            sets[i] = frozenset(kind.elements([texts[i]])[0].tolist())
+        return sets[i]
 
     union, buckets, out = _Union(), {}, []
-    for i in order:
-        mine, traveller = group[i][1].tolist(), group[i][4]
-        if not cross or traveller:
-            met = {j for key in mine for j in buckets.get(key, ()) if not cross or not group[j][4]}
+    for i in sorted(range(n), key=lambda i: (travels[i], ids[i])):
+        if not cross or travels[i]:
+            met = {j for key in keys[i] for j in buckets.get(key, ()) if not cross or not travels[j]}
             for j in sorted(met):
-                a, b = union.root(group[i][3]), union.root(group[j][3])
+                a, b = union.root(labels[i]), union.root(labels[j])
                 if a == b:
                     continue
                 x, y = of(i), of(j)
@@ -196,45 +303,64 @@ def _links(group: list[tuple], elements: Callable, likeness: float, cross: bool)
                 common = len(x & y)
                 if common >= likeness * (len(x) + len(y) - common):
                     union.join(a, b)
-                    out.append((group[i][0], group[j][0]))
-        for key in mine:
+                    out.append((ids[i], ids[j]))
+        for key in keys[i]:
             buckets.setdefault(key, []).append(i)
     return out
 
 
-def _verified(rows: DataFrame, keys: list[str], elements: Callable, likeness: float, cross: bool) -> DataFrame:
-    return _in_groups(rows, keys, ["id", "keys", "text", "label", "traveller"], lambda group: _links(group, elements, likeness, cross))
+def _verified(rows: DataFrame, keys: list[str], kind: Kind, cross: bool) -> DataFrame:
+    def work(part: pd.DataFrame, starts: np.ndarray) -> list[tuple[int, int]]:
+        ids, texts, labels, travels = part["id"].tolist(), part["text"].tolist(), part["label"].tolist(), part["traveller"].tolist()
+        out = []
+        for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True):
+            if b - a > 1:
+                out += _links(ids[a:b], texts[a:b], labels[a:b], travels[a:b], kind, cross)
+        return out
 
+    return _in_groups(rows, keys, ["id", "text", "label", "traveller"], work)
 
-def groups(items: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable, width: int, likeness: float, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
-    """id, root of all items that are alike to another one (root is the group's least id).
 
-    items as in candidates. texts(ids): id, text for the rows of ids (column id). elements: texts to arrays of shingle hashes.
+def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
+    """id, root (stored) of all items that are alike to another one (root is the group's least id).
+
+    shared: key, id of buckets (stored); items: id, text, signature of each id there (stored). What only this needs is deleted.
     """
-    clusters = stored(components(candidates(items, width, likeness, members)).withColumnRenamed("root", "cluster"))
-    member = stored(items.filter("keys is not null").select("id", "keys", "chars").join(clusters, "id").dropDuplicates(["id"]))
+    pairs = candidates(shared, items.select("id", "signature"), kind.width, kind.likeness, members)
+    clusters = components(pairs)
+    dropped(pairs)
+    member = stored(items.select("id", F.length("text").alias("chars")).join(clusters.withColumnRenamed("root", "cluster"), "id"))
+    dropped(clusters)
     sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars, F.lit(1))).cast("int").alias("blocks"))
-    where = stored(member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    # Texts move to their ids once, and once to their blocks.
-    placed = texts(where.select("id")).join(where.hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False))
-    links = stored(_verified(placed, ["cluster", "block"], elements, likeness, cross=False))
-    if not where.filter("blocks > 1").isEmpty():
+    blocks = F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars, F.lit(1))).cast("int")
+    wide_ones = stored(sizes.select("cluster", blocks.alias("blocks")).filter("blocks > 1"))
+    where = attached(member, wide_ones, "cluster").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = items.select("id", "text").join(where.select("id", "cluster", "blocks", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False))
+    links = stored(_verified(placed, ["cluster", "block"], kind, cross=False))
+    if not wide_ones.isEmpty():
         wide = stored(placed.filter("blocks > 1").drop("label"))
         for scouts in (True, False):
-            labels = stored(components(links))
+            labels = components(links)
             named = stored(wide.join(labels.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")))
             counts = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-            first = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).select("cluster", F.col("top.label").alias("largest"), "labels")
-            split = named.join(first.filter("labels > 1"), "cluster")
+            first = stored(counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).select("cluster", F.col("top.label").alias("largest"), "labels").filter("labels > 1"))
+            split = attached(named, first, "cluster").filter("labels is not null")
             if scouts:
                 spot = Window.partitionBy("cluster", "block", "label").orderBy(F.xxhash64("id"))
                 away = split.withColumn("spot", F.row_number().over(spot)).filter(F.col("spot") <= SCOUTS).drop("spot")
             else:
                 away = split.filter("label <> largest")
-            weights = away.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("parties"))
-            going = away.join(weights, "cluster").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("at <> block").withColumn("traveller", F.lit(True))
-            staying = split.join(weights, "cluster").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("at", F.col("block"))
-            columns = ["cluster", "at", "party", "id", "keys", "text", "label", "traveller"]
-            links = stored(links.unionByName(_verified(going.select(*columns).unionByName(staying.select(*columns)), ["cluster", "at", "party"], elements, likeness, cross=True)))
-    return components(links)
+            away = stored(away)
+            weights = stored(away.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("parties")))
+            going = attached(away, weights, "cluster").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("at <> block").withColumn("traveller", F.lit(True))
+            staying = attached(split, weights, "cluster").filter("parties is not null").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("at", F.col("block"))
+            columns = ["cluster", "at", "party", "id", "text", "label", "traveller"]
+            new = stored(links.unionByName(_verified(going.select(*columns).unionByName(staying.select(*columns)), ["cluster", "at", "party"], kind, cross=True)))
+            for x in (links, labels, named, first, away, weights):
+                dropped(x)
+            links = new
+        dropped(wide)
+    out = components(links)
+    for x in (links, member, wide_ones):
+        dropped(x)
+    return out

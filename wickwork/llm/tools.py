@@ -64,17 +64,30 @@ def dropped(df: DataFrame) -> None:
 SIEVE_WORDS = 1 << 20
 
 
-def sifted(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
-    """Rows of df whose id is among ids, and few others: a Bloom filter of bounded size, so that a join that follows doesn't move what it drops.
+def sifted(df: DataFrame, ids: DataFrame, *columns: str, rest: bool = False) -> DataFrame:
+    """Rows of df whose columns are among ids, and few others: a Bloom filter of bounded size, so that a join that follows doesn't move what it drops.
 
-    With many more ids than bits it lets all rows pass; no row with an id of ids is ever lost.
+    With many more ids than bits it lets all rows pass; no row that is in ids is ever lost. rest: the other rows, none of which is in ids.
     """
-    spot = lambda: F.xxhash64(F.col(column))
+    spot = lambda: F.xxhash64(*columns)
     word = lambda: F.shiftrightunsigned(spot(), 6).bitwiseAND(F.lit(SIEVE_WORDS - 1))
-    bit = lambda: F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))")
+    bit = lambda: F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(f'`{c}`' for c in columns)}) & 63 as int))")
     sieve = ids.select(word().alias("__word"), bit().alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     marked = df.withColumns({"__at": word(), "__one": bit()})
-    return marked.join(F.broadcast(sieve), (F.col("__at") == F.col("__word")) & (F.col("__bits").bitwiseAND(F.col("__one")) != 0), "left_semi").drop("__at", "__one")
+    return marked.join(F.broadcast(sieve), (F.col("__at") == F.col("__word")) & (F.col("__bits").bitwiseAND(F.col("__one")) != 0), "left_anti" if rest else "left_semi").drop("__at", "__one")
+
+
+#: Most rows that `attached` broadcasts (a key and a few numbers each), and salts of a key beyond.
+MANY, SALTS = 10_000, 64
+
+
+def attached(rows: DataFrame, small: DataFrame, key: str, many: int = MANY) -> DataFrame:
+    """rows with what `small` has for their key (one row for each key), null where it has none: no key's rows meet in one task."""
+    if small.count() <= many:
+        return rows.join(F.broadcast(small), key, "left")
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")  # the same again when a task is repeated
+    return rows.withColumn("__salt", spread).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
