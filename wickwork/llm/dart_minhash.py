@@ -50,7 +50,8 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     hashes, owner = shingles(texts)
-    return [np.unique(hashes[owner == k]) for k in range(len(texts))]
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    return [hashes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def darts(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, width: int = WIDTH) -> np.ndarray:

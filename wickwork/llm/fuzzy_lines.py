@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_groups import RANGE_ENTRIES, RUNS, Kind, band_keys, groups, merged_runs, packed_runs
-from .tools import dropped, inverse_powers, prefix_sums, sifted, span_hashes, stored, table
+from .tools import dropped, mixed, sifted, stored, table
 
 #: Characters in a shingle that likeness counts, likeness, and coordinates of the signature that screens candidates.
 SHINGLE, LIKENESS, WIDTH = 4, 0.8, 64
@@ -31,27 +31,36 @@ LONG, BANDS, ROWS, FEW = 8, 28, 3, 40
 #: Lines of a task that are known to be signed already, and lines in a run.
 SEEN, RUN_LINES = 200_000, 50_000
 _WORD = re.compile(r"[^\W_]")
-#: The same for Spark.
+#: Multipliers of shingle hashes, by the length of what is joined.
+_STEPS = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xC2B2AE3D27D4EB4F), 4: np.uint64(0xD6E8FEB86659FD93)}
+#: The same as _WORD for Spark.
 HAS_WORD = r"[\p{L}\p{N}]"
 _RNG = np.random.default_rng(20)
 _FACTORS = (_RNG.integers(0, 2**31, max(WIDTH, BANDS * ROWS), dtype=np.uint64) * 2 + 1).astype(np.uint32)
 
 
 def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of all lines, and where each line's start (one entry more); a shorter line has itself as its one shingle."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    """Hashes of the character shingles of all lines (size: a power of two), and where each line's start (one entry more); a shorter line has itself as its one shingle."""
+    h = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     long = np.array([len(x) for x in lines], np.int64)
     at = np.concatenate([[0], np.cumsum(long)])
     count = np.maximum(1, long - size + 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    starts = np.repeat(at[:-1] - first[:-1], count) + np.arange(first[-1])
-    ends = np.minimum(starts + size, np.repeat(at[1:], count))
-    return span_hashes(prefix_sums(points), starts, ends, inverse_powers(len(points) + 1)), first
+    step = 1
+    while step < size and len(h) > step:  # from hashes of strings of `step` to those of twice as many
+        h = h[:-step] * _STEPS[step] + h[step:]
+        step *= 2
+    starts = np.repeat(at[:-1] - first[:-1], count)
+    starts += np.arange(first[-1])
+    out = mixed(h[np.minimum(starts, len(h) - 1)]) if len(h) else np.zeros(first[-1], np.uint64)
+    for k in np.flatnonzero(long < size).tolist():
+        out[first[k]] = xxhash.xxh64_intdigest(lines[k].encode(), size)
+    return out, first
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     hashes, first = shingles(lines)
-    return [np.unique(hashes[a:b]) for a, b in zip(first, first[1:], strict=False)]
+    return [hashes[a:b] for a, b in zip(first.tolist(), first.tolist()[1:], strict=False)]
 
 
 def _parts(lines: list[str], most: int = 60_000) -> Iterator[tuple[int, int]]:
@@ -84,15 +93,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def different(hashes: np.ndarray, first: np.ndarray, most: int = 2 * FEW) -> np.ndarray:
-    """How many different shingles each line has; lines with FEW or more among their first `most` aren't counted further."""
-    n, spot = len(first) - 1, np.arange(most)
-    inside = first[:-1, None] + spot < first[1:, None]
-    head = np.sort(np.where(inside, hashes[np.minimum(first[:-1, None] + spot, len(hashes) - 1)], hashes[first[:-1]][:, None]), axis=1)
+def different(lines: list[str], most: int = 2 * FEW) -> np.ndarray:
+    """How many different short shingles each line has; lines with FEW or more among their first `most` aren't counted further."""
+    hashes, first = shingles([x[: most + SHINGLE - 1] for x in lines])
+    inside = first[:-1, None] + np.arange(most)
+    head = np.sort(np.where(inside < first[1:, None], hashes[np.minimum(inside, len(hashes) - 1)], hashes[first[:-1]][:, None]), axis=1)
     count = 1 + (head[:, 1:] != head[:, :-1]).sum(1)
-    for k in np.flatnonzero((count < FEW) & (np.diff(first) > most)).tolist():
-        count[k] = len(np.unique(hashes[first[k] : first[k + 1]]))
-    return count.reshape(n)
+    for k in np.flatnonzero(count < FEW).tolist():
+        if len(lines[k]) > most:
+            count[k] = len(np.unique(shingles([lines[k]])[0]))
+    return count
 
 
 def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +110,7 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keys, owner = [np.zeros((0, BANDS), np.int64)], [np.zeros(0, np.int64)]
     for a, b in _parts(lines):
         part = lines[a:b]
-        short, first = shingles(part)
-        count = different(short, first)
+        count = different(part)
         for kind, picked in ((0, np.flatnonzero(count >= LIKENESS * FEW)), (1, np.flatnonzero(count < FEW))):
             if len(picked):
                 hashes = shingles([part[k] for k in picked.tolist()], SHINGLE if kind else LONG)
@@ -182,8 +191,10 @@ def doomed(docs: DataFrame, **blocks) -> DataFrame:
     dropped(met)
     places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
     at = sifted(docs, places, "id", "c").join(places.withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (docs["c"] == places["c"]))
-    split = at.select(docs["id"], docs["c"], F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
-    items = stored(_signed(split.select(F.col("w.node").alias("id"), F.get("all", F.col("w.line")).alias("text")).dropDuplicates(["id"])))
+    split = at.select(F.split("text", "\n", -1).alias("all"), "wanted").select(F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("id"), F.get("all", w["line"]).alias("text")))).alias("w"))
+    items = stored(_signed(split.select("w.id", "w.text")))
+    if items.count() != wanted.count():  # rows that repeat an id and a text
+        items = stored(items.dropDuplicates(["id"]))
     found = groups(shared, items, KIND, **blocks)
     for x in (wanted, shared, items):
         dropped(x)

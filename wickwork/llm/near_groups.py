@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .tools import attached, dropped, mixed, stored
+from .tools import attached, dropped, mixed, sifted, stored
 
 #: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
@@ -109,12 +109,11 @@ def bucketed(items: DataFrame) -> DataFrame:
 
 
 def packed_runs(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pd.DataFrame:
-    """A run for each range of keys: range, keys (4 bytes each, in order), ids (8 bytes each), of entries (key, id) as arrays of int64."""
+    """A run for each range of keys: range, keys (4 bytes each), ids (8 bytes each), of entries (key, id) as arrays of int64."""
     wide = keys.view(np.uint64)
     number = (wide >> np.uint64(32)) % np.uint64(ranges)
-    low = wide.astype(np.uint32)
-    order = np.argsort((number << np.uint64(32)) | low)
-    number, low, ids = number[order].astype(np.int64), low[order], ids[order]
+    order = np.argsort(number.astype(np.uint16 if ranges < 1 << 16 else np.uint64), kind="stable")
+    number, low, ids = number[order].astype(np.int64), wide.astype(np.uint32)[order], ids[order]
     cuts = np.flatnonzero(np.diff(number)) + 1
     bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True)) if len(number) else []
     return pd.DataFrame({"range": [int(number[a]) for a, _ in bounds], "keys": [low[a:b].tobytes() for a, b in bounds], "ids": [ids[a:b].tobytes() for a, b in bounds]})
@@ -131,8 +130,8 @@ def merged_runs(runs: DataFrame) -> DataFrame:
 
     def found(rows: list[tuple[bytes, bytes]]) -> pd.DataFrame:
         keys, ids = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in rows]), np.concatenate([np.frombuffer(i, np.int64) for _, i in rows])
-        order = np.argsort(keys)
-        keys = keys[order]
+        both = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))  # faster than to sort places by keys
+        keys, order = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
         met = same[1:] | same[:-1]  # most keys have one entry
@@ -270,7 +269,7 @@ def candidates(shared: DataFrame, signed: DataFrame, width: int, likeness: float
 
 @dataclass(frozen=True)
 class Kind:
-    """What makes items alike: band keys and shingle hashes of texts (lists of arrays), screening signature and exact likeness."""
+    """What makes items alike: band keys and shingle hashes (also repeated ones) of texts, as lists of arrays, screening signature and exact likeness."""
 
     keys: Callable[[list[str]], list[np.ndarray]]
     elements: Callable[[list[str]], list[np.ndarray]]
@@ -278,15 +277,13 @@ class Kind:
     likeness: float
 
 
-def _links(ids: list, texts: list[str], labels: list, travels: list[bool], kind: Kind, cross: bool) -> list[tuple[int, int]]:
+def _links(ids: list, keys: list, sets: list, labels: list, travels: list[bool], likeness: float, cross: bool) -> list[tuple[int, int]]:
     """Verified links that connect what is alike in a group; across components of `labels` only. cross: only pairs of a traveller and a resident count."""
-    likeness, n = kind.likeness, len(ids)
-    keys = [x.tolist() for x in kind.keys(texts)] if n > FEW else [[0]] * n
-    sets: list = [None] * n
+    n = len(ids)
 
     def of(i: int) -> frozenset:
-        if sets[i] is None:
-            sets[i] = frozenset(kind.elements([texts[i]])[0].tolist())
+        if not isinstance(sets[i], frozenset):
+            sets[i] = frozenset(sets[i].tolist())
         return sets[i]
 
     union, buckets, out = _Union(), {}, []
@@ -312,10 +309,22 @@ def _links(ids: list, texts: list[str], labels: list, travels: list[bool], kind:
 def _verified(rows: DataFrame, keys: list[str], kind: Kind, cross: bool) -> DataFrame:
     def work(part: pd.DataFrame, starts: np.ndarray) -> list[tuple[int, int]]:
         ids, texts, labels, travels = part["id"].tolist(), part["text"].tolist(), part["label"].tolist(), part["traveller"].tolist()
-        out = []
-        for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True):
-            if b - a > 1:
-                out += _links(ids[a:b], texts[a:b], labels[a:b], travels[a:b], kind, cross)
+        bounds, out, at = [(a, b) for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True) if b - a > 1], [], 0
+        while at < len(bounds):  # groups of about a million characters at a time
+            stop, size = at, 0
+            while stop < len(bounds) and (stop == at or size < 1_000_000):
+                size += sum(map(len, texts[slice(*bounds[stop])]))
+                stop += 1
+            now = bounds[at:stop]
+            sets = kind.elements([x for a, b in now for x in texts[a:b]])
+            found = iter(kind.keys([x for a, b in now if b - a > FEW for x in texts[a:b]]))
+            k = 0
+            for a, b in now:
+                n = b - a
+                bands = [next(found).tolist() for _ in range(n)] if n > FEW else [[0]] * n
+                out += _links(ids[a:b], bands, sets[k : k + n], labels[a:b], travels[a:b], kind.likeness, cross)
+                k += n
+            at = stop
         return out
 
     return _in_groups(rows, keys, ["id", "text", "label", "traveller"], work)
@@ -335,10 +344,10 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
     blocks = F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars, F.lit(1))).cast("int")
     wide_ones = stored(sizes.select("cluster", blocks.alias("blocks")).filter("blocks > 1"))
     where = attached(member, wide_ones, "cluster").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = items.select("id", "text").join(where.select("id", "cluster", "blocks", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False))
+    placed = stored(sifted(items.select("id", "text"), member, "id").join(where.select("id", "cluster", "blocks", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False)))
     links = stored(_verified(placed, ["cluster", "block"], kind, cross=False))
     if not wide_ones.isEmpty():
-        wide = stored(placed.filter("blocks > 1").drop("label"))
+        wide = placed.filter("blocks > 1").drop("label")
         for scouts in (True, False):
             labels = components(links)
             named = stored(wide.join(labels.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")))
@@ -359,8 +368,7 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
             for x in (links, labels, named, first, away, weights):
                 dropped(x)
             links = new
-        dropped(wide)
     out = components(links)
-    for x in (links, member, wide_ones):
+    for x in (links, member, wide_ones, placed):
         dropped(x)
     return out
