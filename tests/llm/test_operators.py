@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import struct
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -10,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from wickwork.llm import bpe_transducer, cotraining, dart_minhash, extendible_shards, fuzzy_lines, length_buckets, order_minhash, robust_rules, secret_spans, suffix_dedup
@@ -108,6 +111,50 @@ def test_op2_follows_edit_distance(spark):
         assert out[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + follow[:cut]).encode()).hexdigest()
 
 
+def plain_fingerprint(text):
+    """Order MinHash on lists: of the numbered k-mers the two least of each coordinate, in the text's order."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    tokens = [xxhash.xxh64_intdigest(t.encode(), 42) for t in re.findall(r"[^\x20\x09-\x0D]{1,12}", text or "")]
+
+    def chained(values, seed=42, kind="<Q"):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack(kind, v), seed)
+        return seed
+
+    high = lambda x: signed(x) >> 31
+    seen, kmers = Counter(), []
+    for place in range(max(0, len(tokens) - order_minhash.K) + 1 if tokens else 0):
+        gram = high(chained(tokens[place : place + order_minhash.K]))
+        name = chained([seen[gram]], chained([gram & (1 << 64) - 1]), "<I")
+        seen[gram] += 1
+        kmers.append((high(name), place))
+    out = ""
+    for c in order_minhash._CONSTANTS[: order_minhash.WIDTH]:
+        least = sorted(((h ^ (c >> 31), place) for h, place in kmers), key=lambda x: x)[:2]
+        pair = [h & (1 << 64) - 1 for h, _ in sorted(least * (3 - len(least)) if least else [], key=lambda x: x[1])][:2]
+        out += f"{chained(pair) & 0xFFFFFFFF:08x}"
+    return out
+
+
+def test_op2_against_plain_lists_and_keeps_every_row(spark, odd):
+    rng = random.Random(21)
+    texts = [*odd, (10, "a b a b a b a b a"), (11, "x y"), (12, words(rng, 40, 5)), (None, "no id"), (5, odd[4][1]), (5, "another text of five"), (2**40, "last")]
+    docs = frame(spark, texts)
+    found = Counter((r["doc_id"], r["fingerprint"]) for r in every(order_minhash.fingerprints(docs)))
+    assert found == Counter((i, plain_fingerprint(t)) for i, t in texts)
+    rows = every(order_minhash.edited(docs))
+    assert Counter((r["doc_id"], r["fingerprint"], r["n_chars"]) for r in rows) == Counter((i, plain_fingerprint(t), len(t or "")) for i, t in texts)
+    order = sorted({i for i, _ in texts if i not in (None, 5)})
+    by, text = {r["doc_id"]: r for r in rows}, dict(texts)
+    for i, j in zip(order, order[1:], strict=False):
+        if i < 4 or i > 5:
+            cut = len(text[i] or "") // 4
+            edit = (text[i] or "")[: len(text[i] or "") - cut] + (text[j] or "")[:cut]
+            assert by[i]["edited_sha256"] == hashlib.sha256(edit.encode()).hexdigest() and by[i]["edited_fingerprint"] == plain_fingerprint(edit)
+            same = lambda a, b: sum(a[k : k + 8] == b[k : k + 8] for k in range(0, len(a), 8)) / order_minhash.WIDTH
+            assert by[i]["near_edited"] == same(by[i]["fingerprint"], by[i]["edited_fingerprint"]) and by[i]["near_next"] == same(by[i]["fingerprint"], by[j]["fingerprint"])
+
+
 def plain_repeats(ws):
     seen = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
     return len({j for i in range(len(ws) - 4) if seen[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)})
