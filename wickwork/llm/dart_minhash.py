@@ -113,12 +113,7 @@ def signatures(texts: list[str], width: int = WIDTH, rows: int = ROWS) -> list[t
     return out
 
 
-def keys_of(texts: list[str]) -> list[np.ndarray]:
-    """All band keys of each text."""
-    return [np.zeros(0, np.int64) if keys is None else keys for keys, _ in signatures(texts)]
-
-
-KIND = Kind(keys_of, shingle_sets, WIDTH, LIKENESS)
+KIND = Kind(shingle_sets, WIDTH, LIKENESS)
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, **blocks) -> DataFrame:

@@ -127,7 +127,7 @@ def keys_of(lines: list[str]) -> list[np.ndarray]:
     return [keys[order[a:b]].ravel() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-KIND = Kind(keys_of, shingle_sets, WIDTH, LIKENESS)
+KIND = Kind(shingle_sets, WIDTH, LIKENESS)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -182,29 +182,27 @@ def doomed(docs: DataFrame, **blocks) -> DataFrame:
     """id, c, lines (stored): for each text (id, c: hash of the text, text) the numbers of the lines that go, for texts that lose some."""
     rows = stored(lines_of(docs))
     # one row for each distinct line: where it first stands
-    nodes = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "c", "line")).alias("first"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first", "n"))
+    nodes = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "c", "line")).alias("first"), F.count("*").alias("n")))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(merged_runs(_runs_of(docs, max(4 * partitions, nodes.count() * BANDS // RANGE_ENTRIES))))
-    # A hash of 64 bits may stand for several lines: each gets an id of its own, and verification compares their texts.
-    wanted = stored(nodes.join(met.select(F.col("id").alias("h1")).distinct().hint("shuffle_hash"), "h1", "left_semi").select("node", "h1", "first"))
-    shared = stored(met.join(wanted.select(F.col("h1").alias("id"), "node").hint("shuffle_hash"), "id").select("key", F.col("node").alias("id")))
-    dropped(met)
-    places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
+    shared = stored(merged_runs(_runs_of(docs, max(4 * partitions, nodes.count() * BANDS // RANGE_ENTRIES))))
+    # Lines meet by h1 and are removed by both hashes. Of different lines of one h1 (a pair in billions of lines) the first is compared.
+    wanted = stored(nodes.join(shared.select(F.col("id").alias("h1")).distinct().hint("shuffle_hash"), "h1", "left_semi").groupBy("h1").agg(F.min("first").alias("first")))
+    places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.line", F.col("h1").alias("node"))).alias("wanted"))
     at = sifted(docs, places, "id", "c").join(places.withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (docs["c"] == places["c"]))
     split = at.select(F.split("text", "\n", -1).alias("all"), "wanted").select(F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("id"), F.get("all", w["line"]).alias("text")))).alias("w"))
     items = stored(_signed(split.select("w.id", "w.text")))
     if items.count() != wanted.count():  # rows that repeat an id and a text
         items = stored(items.dropDuplicates(["id"]))
     found = groups(shared, items, KIND, **blocks)
-    for x in (wanted, shared, items):
-        dropped(x)
-    classes = stored(nodes.join(found.withColumnRenamed("id", "node"), "node", "left").filter("root is not null or n > 1").select("h1", "h2", "first", F.coalesce("root", "node").alias("root")))
-    keepers = classes.groupBy("root").agg(F.min("first").alias("keep")).select("keep.*")
-    repeats = rows.join(classes.select("h1", "h2"), ["h1", "h2"], "left_semi").select("id", "c", "line")
+    named = wanted.join(found.select(F.col("id").alias("h1"), "root").hint("shuffle_hash"), "h1").select("h1", F.col("first").alias("own"), "root")
+    both = nodes.join(named.hint("shuffle_hash"), "h1", "left").withColumn("root", F.when(F.col("first") == F.col("own"), F.col("root")))
+    classes = stored(both.filter("root is not null or n > 1").select("h1", "h2", "first", F.coalesce("root", "h1").alias("root"), F.col("root").isNull().alias("alone")))
+    keepers = classes.groupBy("root", F.when(F.col("alone"), F.col("h2"))).agg(F.min("first").alias("keep")).select("keep.*")
+    repeats = rows.join(classes.select("h1", "h2").hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("id", "c", "line")
     kept = keepers.select(F.col("id").alias("__id"), F.col("c").alias("__c"), F.col("line").alias("__line"))
-    gone = repeats.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("c") == F.col("__c")) & (F.col("line") == F.col("__line")), "left_anti")
+    gone = repeats.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("c") == F.col("__c")) & (F.col("line") == F.col("__line")), "left_anti")
     out = stored(gone.groupBy("id", "c").agg(F.sort_array(F.collect_set("line")).alias("lines")))
-    for x in (rows, nodes, found, classes):
+    for x in (rows, nodes, shared, wanted, items, found, classes):
         dropped(x)
     return out
 

@@ -9,8 +9,8 @@ are joins and sums on even keys; no group of items, however large, meets in one
    what is alike: all members are held against one of them; a small bucket's others are looked through in memory, those of
    a large one travel to blocks of the bucket. What signatures call alike is united into clusters (distributed union-find over edges).
 3. Exact verification by Jaccard's index of the texts' shingles. A cluster is cut into blocks of bounded size. Inside a block
-   each item is compared with those it shares a band with, and no more with a component once it is in it. Then items outside a
-   cluster's largest component travel to its other blocks: any link between two components has such an end.
+   each item is compared with those that its signature resembles, and no more with a component once it is in it. Then items outside a
+   cluster's largest component travel to its other blocks, each once: any link between two components has such an end.
 4. Union-find over the verified links gives the groups.
 """
 
@@ -29,8 +29,6 @@ from .tools import attached, dropped, mixed, sifted, stored
 
 #: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
-#: Members of a group that are compared with all others there, whether they share a band or not.
-FEW = 12
 #: Edges that are united in one task (16 bytes each); more go through distributed steps.
 FEW_EDGES = 500_000
 #: Entries (of 12 bytes) that a range of band keys aims at.
@@ -219,13 +217,12 @@ def _in_groups(rows: DataFrame, keys: list[str], columns: list[str], work: Calla
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
 
 
-def candidates(shared: DataFrame, signed: DataFrame, width: int, likeness: float, members: int = MEMBERS) -> DataFrame:
-    """a, b: pairs whose signatures agree in as many places as a pair of that likeness nearly always does, enough of them to connect all such pairs of a bucket.
+def candidates(shared: DataFrame, signed: DataFrame, least: int, members: int = MEMBERS) -> DataFrame:
+    """a, b (stored): pairs whose signatures agree in `least` places, enough of them to connect all such pairs of a bucket.
 
     shared: key, id (stored); signed: id, signature for each id there. In a bucket of more than `members`, all are held
     against one of them; what it doesn't resemble travels to blocks of the bucket and is held against all members there.
     """
-    least = int(width * likeness - 5 * np.sqrt(width * likeness * (1 - likeness)))
 
     def screened(part: pd.DataFrame, starts: np.ndarray) -> list[tuple[int, int]]:
         sizes = np.diff(np.append(starts, len(part)))
@@ -241,9 +238,8 @@ def candidates(shared: DataFrame, signed: DataFrame, width: int, likeness: float
             out += _alike(ids[a : a + n].tolist(), made[a : a + n], travels[a : a + n], least)
         return out
 
-    counts = shared.groupBy("key").agg(F.min(F.xxhash64("id", "key")).alias("pick"), F.count("*").alias("n"))
-    full = shared.join(counts.filter(F.col("n") > members).hint("shuffle_hash"), "key", "left").join(signed, "id").select("key", "id", "signature", "pick", "n")
-    full = stored(full)
+    large_ones = stored(shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("id", "key")).alias("pick")).filter(F.col("n") > members))
+    full = stored(attached(shared, large_ones, "key").join(signed.hint("shuffle_hash"), "id").select("key", "id", "signature", "pick", "n"))
     columns, keys = ["id", "signature", "traveller"], ["key", "block", "party"]
     small = full.filter("n is null").withColumns({"block": F.lit(0), "party": F.lit(0), "traveller": F.lit(True)})
     out = _in_groups(small, keys, columns, screened)
@@ -251,6 +247,7 @@ def candidates(shared: DataFrame, signed: DataFrame, width: int, likeness: float
     if large.isEmpty():
         pairs = stored(out.distinct())
         dropped(full)
+        dropped(large_ones)
         return pairs
     heads = large.filter(F.xxhash64("id", "key") == F.col("pick")).groupBy("key").agg(F.min(F.struct("id", "signature")).alias("head"))
     star = stored(attached(large, heads, "key").filter("id <> head.id").withColumn("alike", agreement("signature", "head.signature") >= least).select("key", "id", "signature", "n", F.col("head.id").alias("b"), "alike"))
@@ -262,72 +259,72 @@ def candidates(shared: DataFrame, signed: DataFrame, width: int, likeness: float
     both = [*keys, *columns]
     out = out.unionByName(star.filter("alike").select(F.col("id").alias("a"), "b")).unionByName(_in_groups(going.select(*both).unionByName(staying.select(*both)), keys, columns, screened))
     pairs = stored(out.distinct())
-    for x in (full, star, parties):
+    for x in (full, large_ones, star, parties):
         dropped(x)
     return pairs
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What makes items alike: band keys and shingle hashes (also repeated ones) of texts, as lists of arrays, screening signature and exact likeness."""
+    """What makes items alike: shingle hashes (also repeated ones) of texts, as lists of arrays, and the least Jaccard index; width of the signatures that screen."""
 
-    keys: Callable[[list[str]], list[np.ndarray]]
     elements: Callable[[list[str]], list[np.ndarray]]
     width: int
     likeness: float
 
+    @property
+    def least(self) -> int:
+        """Coordinates in which the signatures of a pair of that likeness nearly always agree: five standard deviations below the mean."""
+        return int(self.width * self.likeness - 5 * np.sqrt(self.width * self.likeness * (1 - self.likeness)))
 
-def _links(ids: list, keys: list, sets: list, labels: list, travels: list[bool], likeness: float, cross: bool) -> list[tuple[int, int]]:
+
+def _links(ids: list, made: np.ndarray, sets: list, labels: list, travels: np.ndarray, kind: Kind, cross: bool) -> list[tuple[int, int]]:
     """Verified links that connect what is alike in a group; across components of `labels` only. cross: only pairs of a traveller and a resident count."""
-    n = len(ids)
+    n, likeness, known = len(ids), kind.likeness, {}
 
     def of(i: int) -> frozenset:
         if not isinstance(sets[i], frozenset):
             sets[i] = frozenset(sets[i].tolist())
         return sets[i]
 
-    union, buckets, out = _Union(), {}, []
-    for i in sorted(range(n), key=lambda i: (travels[i], ids[i])):
-        if not cross or travels[i]:
-            met = {j for key in keys[i] for j in buckets.get(key, ()) if not cross or not travels[j]}
-            for j in sorted(met):
-                a, b = union.root(labels[i]), union.root(labels[j])
-                if a == b:
-                    continue
-                x, y = of(i), of(j)
-                if min(len(x), len(y)) < likeness * max(len(x), len(y)):
-                    continue
-                common = len(x & y)
-                if common >= likeness * (len(x) + len(y) - common):
-                    union.join(a, b)
-                    out.append((ids[i], ids[j]))
-        for key in keys[i]:
-            buckets.setdefault(key, []).append(i)
+    order = np.lexsort((ids, travels))
+    made, travels = made[order], travels[order]
+    part = np.array([known.setdefault(labels[k], i) for i, k in enumerate(order.tolist())])  # the component that each belongs to by now
+    out = []
+    for i in range(int((~travels).sum()) if cross else 1, n):
+        before = int((~travels).sum()) if cross else i
+        like = (made[:before] == made[i]).sum(1)
+        for j in np.flatnonzero((like >= kind.least) & (part[:before] != part[i])).tolist():
+            if part[i] == part[j]:
+                continue
+            x, y = of(order[i]), of(order[j])
+            if min(len(x), len(y)) < likeness * max(len(x), len(y)):
+                continue
+            common = len(x & y)
+            if common >= likeness * (len(x) + len(y) - common):
+                part[part == part[i]] = part[j]
+                out.append((ids[order[i]], ids[order[j]]))
     return out
 
 
 def _verified(rows: DataFrame, keys: list[str], kind: Kind, cross: bool) -> DataFrame:
     def work(part: pd.DataFrame, starts: np.ndarray) -> list[tuple[int, int]]:
-        ids, texts, labels, travels = part["id"].tolist(), part["text"].tolist(), part["label"].tolist(), part["traveller"].tolist()
+        ids, texts, labels, travels = part["id"].tolist(), part["text"].tolist(), part["label"].tolist(), part["traveller"].to_numpy(bool)
+        made = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(len(part), -1)
         bounds, out, at = [(a, b) for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True) if b - a > 1], [], 0
         while at < len(bounds):  # groups of about a million characters at a time
             stop, size = at, 0
             while stop < len(bounds) and (stop == at or size < 1_000_000):
                 size += sum(map(len, texts[slice(*bounds[stop])]))
                 stop += 1
-            now = bounds[at:stop]
-            sets = kind.elements([x for a, b in now for x in texts[a:b]])
-            found = iter(kind.keys([x for a, b in now if b - a > FEW for x in texts[a:b]]))
-            k = 0
-            for a, b in now:
-                n = b - a
-                bands = [next(found).tolist() for _ in range(n)] if n > FEW else [[0]] * n
-                out += _links(ids[a:b], bands, sets[k : k + n], labels[a:b], travels[a:b], kind.likeness, cross)
-                k += n
+            sets, k = kind.elements([x for a, b in bounds[at:stop] for x in texts[a:b]]), 0
+            for a, b in bounds[at:stop]:
+                out += _links(ids[a:b], made[a:b], sets[k : k + b - a], labels[a:b], travels[a:b], kind, cross)
+                k += b - a
             at = stop
         return out
 
-    return _in_groups(rows, keys, ["id", "text", "label", "traveller"], work)
+    return _in_groups(rows, keys, ["id", "text", "signature", "label", "traveller"], work)
 
 
 def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, members: int = MEMBERS) -> DataFrame:
@@ -335,7 +332,7 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
 
     shared: key, id of buckets (stored); items: id, text, signature of each id there (stored). What only this needs is deleted.
     """
-    pairs = candidates(shared, items.select("id", "signature"), kind.width, kind.likeness, members)
+    pairs = candidates(shared, items.select("id", "signature"), kind.least, members)
     clusters = components(pairs)
     dropped(pairs)
     member = stored(items.select("id", F.length("text").alias("chars")).join(clusters.withColumnRenamed("root", "cluster"), "id"))
@@ -344,10 +341,11 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
     blocks = F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars, F.lit(1))).cast("int")
     wide_ones = stored(sizes.select("cluster", blocks.alias("blocks")).filter("blocks > 1"))
     where = attached(member, wide_ones, "cluster").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = stored(sifted(items.select("id", "text"), member, "id").join(where.select("id", "cluster", "blocks", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False)))
+    placed = stored(sifted(items.select("id", "text", "signature"), member, "id").join(where.select("id", "cluster", "blocks", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False)))
     links = stored(_verified(placed, ["cluster", "block"], kind, cross=False))
     if not wide_ones.isEmpty():
         wide = placed.filter("blocks > 1").drop("label")
+        gone = None
         for scouts in (True, False):
             labels = components(links)
             named = stored(wide.join(labels.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")))
@@ -358,16 +356,17 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
                 spot = Window.partitionBy("cluster", "block", "label").orderBy(F.xxhash64("id"))
                 away = split.withColumn("spot", F.row_number().over(spot)).filter(F.col("spot") <= SCOUTS).drop("spot")
             else:
-                away = split.filter("label <> largest")
+                away = split.filter("label <> largest").join(gone.select("id").hint("shuffle_hash"), "id", "left_anti")  # scouts have met all others
             away = stored(away)
             weights = stored(away.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("parties")))
             going = attached(away, weights, "cluster").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("at <> block").withColumn("traveller", F.lit(True))
             staying = attached(split, weights, "cluster").filter("parties is not null").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("at", F.col("block"))
-            columns = ["cluster", "at", "party", "id", "text", "label", "traveller"]
+            columns = ["cluster", "at", "party", "id", "text", "signature", "label", "traveller"]
             new = stored(links.unionByName(_verified(going.select(*columns).unionByName(staying.select(*columns)), ["cluster", "at", "party"], kind, cross=True)))
-            for x in (links, labels, named, first, away, weights):
+            for x in (links, labels, named, first, weights, *([gone] if gone is not None else [])):
                 dropped(x)
-            links = new
+            links, gone = new, away
+        dropped(gone)
     out = components(links)
     for x in (links, member, wide_ones, placed):
         dropped(x)
