@@ -44,8 +44,10 @@ class Dialect:
         return f"last_value({x}) IGNORE NULLS OVER {f}" if self.spark else f"last_value({x} IGNORE NULLS) OVER {f}"
 
     def back_fill(self, x: str) -> str:
-        f = f"({KEY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-        return f"first_value({x}) IGNORE NULLS OVER {f}" if self.spark else f"first_value({x} IGNORE NULLS) OVER {f}"
+        """The first value from this bar on. Spark works a frame that ends at the last row out anew for each row, so there it is a running value in reverse."""
+        if self.spark:
+            return f"last_value({x}) IGNORE NULLS OVER ({KEY} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return f"first_value({x} IGNORE NULLS) OVER ({KEY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 
     def median(self, x: str, n: int) -> str:
         f = self.frame(n)

@@ -85,7 +85,7 @@ def native(d: Dialect) -> list[Stage]:
         "price_to_sma_50": ratio("close - SMA_50", "SMA_50"), "price_to_vwap": ratio("close - VWAP", "VWAP"),
         "Stoch_K": roll("avg", "k_raw", 3),
         "aroon_oscillator": "aroon_up - aroon_down",
-        "MFI": f"100 * {ratio(roll('sum', 'flow_up', 14), roll('sum', 'flow_up', 14) + ' + ' + roll('sum', 'flow_down', 14))}".replace("CASE WHEN", "CASE WHEN"),
+        "MFI": f"100 * {ratio(roll('sum', 'flow_up', 14), roll('sum', 'flow_up', 14) + ' + ' + roll('sum', 'flow_down', 14))}",
         "VPT": d.running("sum", "vpt_step"),
         "variance_20": "m2 - m1 * m1",
         "realized_var_20": roll("sum", "r_squared", 20), "bipower_var": roll("sum", "r_pair", 20),

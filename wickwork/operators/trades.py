@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,26 +74,68 @@ def fired(df: DataFrame, signals: list[str], keep: tuple[str, ...] = ()) -> Data
     return out.withColumn("direction", F.col("direction").cast("int"))
 
 
-def _chain(rows: Column, capital: float) -> Column:
-    """Runs over sorted (bar, exit_bar, g): what the account went through. Only scalars are carried."""
-    start = F.struct(F.lit(-1).cast("bigint").alias("free"), F.lit(float(capital)).alias("equity"), F.lit(0).alias("trades"), F.lit(0).alias("wins"), F.lit(0.0).alias("profit"), F.lit(0.0).alias("loss"), F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("drawdown"))
+@dataclass
+class Account:
+    """What an account goes through, trade after trade; `free` is the first bar on which it may enter again."""
 
-    def step(s: Column, x: Column) -> Column:
-        after = s["equity"] * (1 + x["g"])
-        pnl = after - s["equity"]
-        peak = F.greatest(s["peak"], after)  # the first trade's equity is the first peak
-        taken = F.struct((x["exit_bar"] + 1).alias("free"), after.alias("equity"), (s["trades"] + 1).alias("trades"), (s["wins"] + F.when(pnl > 0, 1).otherwise(0)).alias("wins"), (s["profit"] + F.greatest(pnl, F.lit(0.0))).alias("profit"), (s["loss"] + F.least(pnl, F.lit(0.0))).alias("loss"), peak.alias("peak"), F.greatest(s["drawdown"], (peak - after) / peak * 100).alias("drawdown"))
-        return F.when(x["bar"] >= s["free"], taken).otherwise(s)
+    equity: float
+    free: int = -1
+    trades: int = 0
+    wins: int = 0
+    profit: float = 0.0
+    loss: float = 0.0
+    peak: float | None = None
+    drawdown: float = 0.0
 
-    return F.aggregate(rows, start, step)
+    def trade(self, exit_bar: int, g: float) -> None:
+        after = self.equity * (1 + g)
+        pnl = after - self.equity
+        self.peak = after if self.peak is None else max(self.peak, after)  # the first trade's equity is the first peak
+        self.drawdown = max(self.drawdown, (self.peak - after) / self.peak * 100)
+        self.equity, self.free, self.trades, self.wins = after, exit_bar + 1, self.trades + 1, self.wins + (pnl > 0)
+        self.profit, self.loss = self.profit + max(pnl, 0.0), self.loss + min(pnl, 0.0)
+
+    def run(self, bars: np.ndarray, exits: np.ndarray, gains: np.ndarray) -> None:
+        """The chain over signals on ascending bars: bars inside a trade are leapt over."""
+        k = int(np.searchsorted(bars, self.free))
+        while k < len(bars):
+            self.trade(int(exits[k]), float(gains[k]))
+            k = int(np.searchsorted(bars, self.free))
+
+    def row(self) -> tuple:
+        return self.equity, self.trades, self.wins, self.profit, self.loss, self.drawdown
+
+
+ACCOUNT = "equity double, trades int, wins int, profit double, loss double, drawdown double"
 
 
 def chained(fires: DataFrame, out: DataFrame, keys: list[str], b: Bracket = Bracket()) -> DataFrame:
-    """keys, and account: the chain over each key's fires (symbol, bar, direction, keys; symbol is one of the keys)."""
-    met = fires.join(out.select("symbol", "bar", "direction", "exit_bar", "g"), ["symbol", "bar", "direction"])
-    rows = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bar", "exit_bar", "g"))).alias("rows"))
-    # A generator is a border that projections aren't merged over: the fold runs once, not once for each field read from it.
-    return rows.select(*keys, F.explode(F.array(_chain(F.col("rows"), b.initial_capital))).alias("account"))
+    """keys, and account: the chain over each key's fires (symbol, bar, direction, keys; symbol is one of the keys). Rows stream through sorted partitions; the state is one account."""
+    met = fires.join(out.select("symbol", "bar", "direction", "exit_bar", "g"), ["symbol", "bar", "direction"]).select(*keys, "bar", "exit_bar", "g")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(*keys).schema)
+    capital = float(b.initial_capital)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, account = None, None
+        columns = [*keys, *(x.split()[0] for x in ACCOUNT.split(", "))]
+        for part in parts:
+            done, names = [], part[keys].to_numpy()
+            new = np.ones(len(part), bool)
+            new[1:] = (names[1:] != names[:-1]).any(1)
+            starts = [*np.flatnonzero(new).tolist(), len(part)]
+            bars, exits, gains = part["bar"].to_numpy(), part["exit_bar"].to_numpy(), part["g"].to_numpy()
+            for a, z in zip(starts, starts[1:], strict=False):
+                if tuple(names[a]) != key:
+                    if account is not None:
+                        done.append((*key, *account.row()))
+                    key, account = tuple(names[a]), Account(capital)
+                account.run(bars[a:z], exits[a:z], gains[a:z])
+            yield pd.DataFrame(done, columns=columns)
+        if account is not None:
+            yield pd.DataFrame([(*key, *account.row())], columns=columns)
+
+    rows = met.repartition(*keys).sortWithinPartitions(*keys, "bar").mapInPandas(run, f"{schema}, {ACCOUNT}")
+    return rows.select(*keys, F.struct(*(x.split()[0] for x in ACCOUNT.split(", "))).alias("account"))
 
 
 def statistics(accounts: DataFrame, keys: list[str], b: Bracket = Bracket()) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.functions.dialect import DUCK, SPARK, apply, rendered
+from wickwork.functions.storage import kept, stored
 from wickwork.operators import combos, indicators, signals, trades
 from wickwork.sources import candles
 
@@ -46,8 +46,8 @@ def enriched(spark, sf_dir) -> DataFrame:
 
 
 def whole(spark, sf_dir) -> DataFrame:
-    """All columns but the zone signals, kept for the query's several readers."""
-    return features.table(spark, sf_dir, zoned=False).persist(StorageLevel.MEMORY_AND_DISK)
+    """All columns but the zone signals, written once for the queries that read them several times."""
+    return kept(spark, ("whole", sf_dir), lambda: stored(features.table(spark, sf_dir, zoned=False)))
 
 
 def native_oracle(columns: list[str]) -> str:
@@ -160,21 +160,26 @@ _RESULT = ["symbol", "direction", "combo", "size", "fires", "trades", "win_rate"
 
 
 def _base(spark, sf_dir) -> DataFrame:
-    """The columns of the small pool, computed once."""
-    return features.table(spark, sf_dir, zoned=False).select("symbol", "bar", "ts", *indicators.BASE, *COLUMNS, *MARKS).persist(StorageLevel.MEMORY_AND_DISK)
+    """The columns of the small pool."""
+    return whole(spark, sf_dir).select("symbol", "bar", "ts", *indicators.BASE, *COLUMNS, *MARKS)
 
 
 def _conds(spark, sf_dir) -> DataFrame:
     return combos.conditions(_base(spark, sf_dir), COLUMNS, MARKS, SEARCH)
 
 
+def _levels(spark, sf_dir) -> tuple[DataFrame, list[dict]]:
+    """One search, shared by the queries that read its results."""
+    return kept(spark, ("search", sf_dir), lambda: combos.search(_base(spark, sf_dir), COLUMNS, MARKS, SEARCH))
+
+
 def _searched(spark, sf_dir) -> DataFrame:
-    return combos.search(_base(spark, sf_dir), COLUMNS, MARKS, SEARCH)[0]
+    return _levels(spark, sf_dir)[0]
 
 
 def _level(n: int) -> Callable:
     def run(spark, sf_dir):
-        pool = combos.pool(_conds(spark, sf_dir), SEARCH).persist()
+        pool = stored(combos.pool(_conds(spark, sf_dir), SEARCH))
         front = pool.select("symbol", "direction", F.array("cond").alias("conditions"), F.array("rank").alias("ranks"), "fires", "bits", F.lit(0.0).alias("score"))
         for _ in range(n - 1):
             front = combos.extended(front, pool, SEARCH)
@@ -199,8 +204,7 @@ add("condition_dictionary", lambda s, d: report.dictionary(_searched(s, d)).sele
 
 
 def _funnel(spark, sf_dir) -> DataFrame:
-    levels = combos.search(_base(spark, sf_dir), COLUMNS, MARKS, SEARCH)[1]
-    return spark.createDataFrame([(x["size"], int(x["survivors"])) for x in levels if "survivors" in x], "size int, survivors bigint")
+    return spark.createDataFrame([(x["size"], int(x["survivors"])) for x in _levels(spark, sf_dir)[1] if "survivors" in x], "size int, survivors bigint")
 
 
 add("combo_funnel", _funnel, features.query(_CONDITIONS, "SELECT 1 AS size, count(*) AS survivors FROM pool UNION ALL SELECT 2, count(*) FROM level2 UNION ALL SELECT 3, count(*) FROM level3"))
@@ -216,8 +220,8 @@ EVERY = combos.Search()
 
 
 def _all(spark, sf_dir) -> DataFrame:
-    """All columns with the zone signals, kept for the query's several readers."""
-    return features.table(spark, sf_dir, zoned=True).persist(StorageLevel.MEMORY_AND_DISK)
+    """All columns with the zone signals, written once for the queries that read them several times."""
+    return kept(spark, ("all", sf_dir), lambda: stored(features.table(spark, sf_dir, zoned=True)))
 
 
 def _all_pool(spark, sf_dir) -> tuple[DataFrame, list[str], DataFrame]:
@@ -227,12 +231,14 @@ def _all_pool(spark, sf_dir) -> tuple[DataFrame, list[str], DataFrame]:
     return df, [*columns, *marks], combos.pool(combos.conditions(df, columns, marks, EVERY), EVERY)
 
 
-def _all_levels(df: DataFrame) -> tuple[DataFrame, list[dict]]:
-    return combos.search(df, *combos.pool_columns(df), EVERY)
+def _all_levels(spark, sf_dir) -> tuple[DataFrame, list[dict]]:
+    """One search, shared by the queries that read its results."""
+    df = _all(spark, sf_dir)
+    return kept(spark, ("all search", sf_dir), lambda: combos.search(df, *combos.pool_columns(df), EVERY))
 
 
 def _all_searched(spark, sf_dir) -> DataFrame:
-    return _all_levels(_all(spark, sf_dir))[0]
+    return _all_levels(spark, sf_dir)[0]
 
 
 def _all_dropped(spark, sf_dir) -> DataFrame:
@@ -240,18 +246,18 @@ def _all_dropped(spark, sf_dir) -> DataFrame:
 
 
 def _all_funnel(spark, sf_dir) -> DataFrame:
-    levels = _all_levels(_all(spark, sf_dir))[1]
+    levels = _all_levels(spark, sf_dir)[1]
     return spark.createDataFrame([(x["size"], int(x["survivors"])) for x in levels if "survivors" in x], "size int, survivors bigint")
 
 
 def _report(spark, sf_dir) -> DataFrame:
     df = _all(spark, sf_dir)
-    return report.documents(df, _all_levels(df)[0], EVERY)
+    return report.documents(df, _all_searched(spark, sf_dir), EVERY)
 
 
 def _chart(spark, sf_dir) -> DataFrame:
     df = _all(spark, sf_dir)
-    return report.payload(df, combos.top(_all_levels(df)[0], EVERY.console_top_n, by_direction=True), EVERY)
+    return report.payload(df, combos.top(_all_searched(spark, sf_dir), EVERY.console_top_n, by_direction=True), EVERY)
 
 
 add("all_condition_pool_counts", lambda s, d: _all_pool(s, d)[2].select("symbol", "direction", "cond", F.col("rank").cast("int").alias("rank"), "fires"))
