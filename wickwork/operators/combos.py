@@ -211,7 +211,8 @@ def search(df: DataFrame, columns: list[str], signals: list[str], s: Search = Se
         front = base.select("symbol", "direction", F.array(place).alias("places"), F.col("rank").alias("last"), "fires", "score")
     else:
         front = base.select("symbol", "direction", F.array("cond").alias("conditions"), F.array("rank").alias("ranks"), "fires", "bits", "score")
-    levels, found = [{"size": 1, "survivors": base.count()}], [results] if s.min_combo_size <= 1 else []
+    sides = {r.direction: r["count"] for r in base.groupBy("direction").count().collect()}
+    levels, found = [{"size": 1, "survivors": sum(sides.values()), "long": sides.get("Long", 0), "short": sides.get("Short", 0)}], [results] if s.min_combo_size <= 1 else []
     # Sums over pairs (last rank, later ranks), not over candidates.
     later = stored(base.select("symbol", "direction", F.col("rank").alias("last"), (F.count("*").over(w.orderBy(F.desc("rank")).rangeBetween(Window.unboundedPreceding, -1))).alias("later")).distinct())
     fronts, began = [], monotonic()

@@ -192,6 +192,13 @@ def trade_list(fires: DataFrame, out: DataFrame, keys: list[str], b: Bracket = B
     return met.repartition(*keys).sortWithinPartitions(*keys, "bar").mapInPandas(run, schema)
 
 
+def records(taken: DataFrame, bars: DataFrame) -> DataFrame:
+    """trade_list's rows with the direction by name and the times of entry and exit, from bars (symbol, bar, ts)."""
+    at = lambda side: bars.select("symbol", F.col("bar").alias(f"{side}_bar"), F.col("ts").alias(f"{side}_time"))
+    named = taken.withColumn("direction", F.when(F.col("direction") > 0, "LONG").otherwise("SHORT"))
+    return named.join(at("entry"), ["symbol", "entry_bar"], "left").join(at("exit"), ["symbol", "exit_bar"], "left")
+
+
 def oracle_outcomes(source: str, b: Bracket = Bracket(), name: str = "outcomes") -> list[str]:
     """CTEs for DuckDB that end in `outcomes`."""
     return [f"""{name}_e AS (SELECT symbol, bar, d.direction, lead(open) OVER (PARTITION BY symbol, d.direction ORDER BY bar) AS entry_price FROM {source}, (VALUES (1), (-1)) d(direction))""",

@@ -117,6 +117,19 @@ def _trade_list(spark, sf_dir) -> DataFrame:
 
 add("signal_trades", _trade_list, features.query(_STATS_CTES, "SELECT split_part(k, '|', 1) AS symbol, split_part(k, '|', 2) AS signal, bar, exit_bar, round(pnl, 5) AS pnl, round(equity, 5) AS equity_after FROM chain"))
 
+_B0 = trades.Bracket()
+_RECORD = ["entry_price", "exit_price", "stop_price", "target_price", "position_size", "pnl", "equity_after"]
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    df = whole(spark, sf_dir)
+    out = trades.records(trades.trade_list(trades.fired(df, PLAIN), trades.outcomes(df), ["symbol", "signal"]), df)
+    return out.select("symbol", "signal", "direction", "exit_reason", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("entry_time", "exit_time")], *[F.round(c, 5).alias(c) for c in _RECORD])
+
+
+add("signal_trade_records", _records, features.query(_STATS_CTES, f"""SELECT o.symbol, split_part(t.k, '|', 2) AS signal, CASE WHEN o.direction > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, exit_reason, CAST(a.ts AS VARCHAR) AS entry_time, CAST(b.ts AS VARCHAR) AS exit_time,
+  round(entry_price, 5) AS entry_price, round(exit_price, 5) AS exit_price, round(stop_price, 5) AS stop_price, round(target_price, 5) AS target_price, round((equity - pnl) * {_B0.risk_per_trade_pct / 100!r} / (entry_price * {_B0.stop_loss_pct / 100!r}), 5) AS position_size, round(pnl, 5) AS pnl, round(equity, 5) AS equity_after
+  FROM chain t JOIN fires f ON f.k = t.k AND f.bar = t.bar JOIN outcomes o ON o.symbol = f.symbol AND o.bar = f.bar AND o.direction = f.direction JOIN candles a ON a.symbol = o.symbol AND a.bar = o.entry_bar JOIN candles b ON b.symbol = o.symbol AND b.bar = o.exit_bar"""))
 _FREE = trades.Bracket(fee_pct=0.0)
 add("no_fee_comparison", lambda s, d: trades.no_fee_comparison(whole(s, d), PLAIN),
     features.query([*_STATS_CTES, *trades.oracle_outcomes("candles", _FREE, "free"), *trades.oracle_chain("fires", _FREE, "free", "free_chain")],
@@ -257,7 +270,20 @@ def _report(spark, sf_dir) -> DataFrame:
 
 def _chart(spark, sf_dir) -> DataFrame:
     df = _all(spark, sf_dir)
-    return report.payload(df, combos.top(_all_searched(spark, sf_dir), EVERY.console_top_n, by_direction=True), EVERY)
+    return report.payload(df, report.best_of_sides(_all_searched(spark, sf_dir), EVERY.console_top_n), EVERY)
+
+
+def _all_stats_of_search(spark, sf_dir) -> DataFrame:
+    """One row of what the search went through, and the columns without a condition in the pool."""
+    n = _all_dropped(spark, sf_dir).count()
+    return spark.createDataFrame([tuple(map(int, (*report.funnel(_all_levels(spark, sf_dir)[1]).values(), n)))], "long_pool_size bigint, short_pool_size bigint, combos_tested bigint, combos_cleared_min_fires bigint, combos_simulated bigint, dropped_columns bigint")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """The console reports, line by line."""
+    results, levels = _all_levels(spark, sf_dir)
+    text = [*report.signal_report(_all_stats(spark, sf_dir), EVERY), *report.combo_report(results, levels, EVERY)]
+    return spark.createDataFrame(list(enumerate(text)), "line int, text string")
 
 
 add("all_condition_pool_counts", lambda s, d: _all_pool(s, d)[2].select("symbol", "direction", "cond", F.col("rank").cast("int").alias("rank"), "fires"))
@@ -269,7 +295,9 @@ add("all_combo_best_per_size", lambda s, d: combos.best_per_size(_all_searched(s
 add("all_combo_top_winrate", lambda s, d: combos.top_win_rate(_all_searched(s, d)).select(*_RESULT))
 add("all_combo_funnel", _all_funnel)
 add("all_condition_dictionary", lambda s, d: report.dictionary(_all_searched(s, d)).select("cond", F.col("number").cast("int").alias("number")))
+add("all_combo_stats", _all_stats_of_search)
 add("report_documents", _report)
+add("report_lines", _lines)
 add("chart_payload", _chart)
 
 # --- sources

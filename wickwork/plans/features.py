@@ -29,6 +29,13 @@ def signalled(df: DataFrame, zoned: bool = True, swing_left: int = 3, swing_righ
     return df.select(*BARS, *indicators.INDICATORS, "RSI_14", *signals.STRUCTURE, *names)
 
 
+def ready(df: DataFrame) -> DataFrame:
+    """df with what a backtest needs: candles get indicators first, and enriched bars structure and signals; bars with signals stay."""
+    if all(c in df.columns for c in signals.SIGNALS):
+        return df
+    return signalled(df if all(c in df.columns for c in [*indicators.INDICATORS, "RSI_14"]) else enriched(df))
+
+
 def table(spark, sf_dir, single: bool = False, zoned: bool = True) -> DataFrame:
     return signalled(enriched(candles.candles(spark, sf_dir, single)), zoned)
 

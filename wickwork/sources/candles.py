@@ -77,15 +77,16 @@ RECORD = "struct<time: string, open: string, high: string, low: string, close: s
 
 
 def from_json(payloads: DataFrame, column: str = "payload", zone: str = "Asia/Kolkata") -> DataFrame:
-    """symbol, ts, open .. volume from answers {"success": ..., "result": [{time, open, ...}]}; unsuccessful ones give no rows.
+    """symbol, ts, open .. volume (and chunk, if there) from answers {"success": ..., "result": [{time, open, ...}]}; unsuccessful ones give no rows.
 
     Numbers may be quoted; an absent or empty volume is 0; epoch seconds become local time.
     """
+    more = [c for c in ("chunk",) if c in payloads.columns]
     answer = F.from_json(column, f"struct<success: boolean, result: array<{RECORD}>>")
-    rows = payloads.select("symbol", answer.alias("a")).filter("a.success").select("symbol", F.explode("a.result").alias("r"))
+    rows = payloads.select("symbol", *more, answer.alias("a")).filter("a.success").select("symbol", *more, F.explode("a.result").alias("r"))
     number = lambda c: F.col(f"r.{c}").cast("double").alias(c)
     local = F.from_utc_timestamp(F.timestamp_seconds(F.col("r.time").cast("bigint")), zone).cast("timestamp_ntz")
-    return rows.select("symbol", local.alias("ts"), *map(number, ("open", "high", "low", "close")), F.coalesce(F.expr("try_cast(r.volume as double)"), F.lit(0.0)).alias("volume"))
+    return rows.select("symbol", *more, local.alias("ts"), *map(number, ("open", "high", "low", "close")), F.coalesce(F.expr("try_cast(r.volume as double)"), F.lit(0.0)).alias("volume"))
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
