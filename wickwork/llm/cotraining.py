@@ -2,7 +2,8 @@
 
 Two views of a document, each with a naive Bayes classifier whose training data are sums: its text content (hashed
 byte trigrams) and its page metadata (language, source and layout: length, lines, line length, shares of capitals, digits,
-marks and spaces, each in bins). Both start from a bounded sample of labelled rows. In each round both score every
+marks and spaces, each in bins: a page's markup isn't in the table, its layout stands for it. The text view doesn't see
+these figures, nor the metadata view any word). Both start from a bounded sample of labelled rows. In each round both score every
 document; where one view is confident, its verdict becomes a training label of the other. The sums of a round have a fixed
 size and are added up within each partition first. Views are calibrated (Platt) on labelled rows
 that are never trained on, and combined there by a logistic regression that scores all documents.
@@ -240,7 +241,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: flo
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = KEEP, **settings) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns."""
+    """The rows of docs that are kept, with docs' columns; as in `scored`, each row by itself, and all of them where there is no model."""
     model = trained(docs, labels, id_col, **settings)
     if model is None:
         return docs

@@ -28,8 +28,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "crf")
-#: Documents sampled for training, windows of each sort, generated lines; least length of an added span.
-SAMPLE, WINDOWS, GENERATED, LEAST = 3000, 250, 400, 8
+#: Documents sampled for training, windows of each sort among them, generated lines.
+SAMPLE, WINDOWS, GENERATED = 3000, 250, 400
 OUTSIDE, BEGIN, INSIDE = range(3)
 HASHED = 4096
 
@@ -301,7 +301,7 @@ def scan(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
                 points = (lead & 0xC0) != 0x80
                 a, b = int(points[: starts[run[0]] - at[k]].sum()), int(points.sum())
                 own = out[start + k]
-                if b - a >= LEAST and not any(x < b and y > a for x, _, y in own):
+                if not any(x < b and y > a for x, _, y in own):
                     own.append((a, 3, b))
         start = stop
     return [sorted(x) for x in out]
@@ -329,7 +329,10 @@ def spans(docs: DataFrame, id_col: str, text_col: str = "text", field: Field | N
 
 
 def redacted(docs: DataFrame, id_col: str, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its texts replaced by a mark; the columns stay, the length column follows the text. Null texts stay null."""
+    """docs with every span of its texts replaced by a mark; the columns stay, the length column follows the text.
+
+    Null texts stay null, empty ones empty; each row is cleaned by itself, repeated ones and those without an id too; an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col))
 
     @F.pandas_udf("string")
@@ -354,7 +357,5 @@ def redacted(docs: DataFrame, id_col: str, text_col: str = "text", length_col: s
     return out.select(*docs.columns)
 
 
-
-
 def query(spark, sf_dir):
     return spans(table(spark, sf_dir, "documents"), "doc_id")
