@@ -5,7 +5,7 @@ They meet by MinHash signatures (one for each distinct line of a task) and bandi
 8 characters, as these keep unlike lines apart much better: of prose in one language two lines of 400 characters share a tenth
 of their 4-character shingles, but one in 300 of the longer ones. An isolated edit breaks twice as many longer shingles as
 short ones, so alike lines keep an index of 0.59 or more of the longer ones, which BANDS bands of ROWS coordinates find with a
-probability over 0.998. Lines with few different shingles, where that doesn't hold, are signed by the short ones; lines near the
+probability over 0.997 (of that, the votes that tell chance meetings apart take 0.001). Lines with few different shingles, where that doesn't hold, are signed by the short ones; lines near the
 border by both, so that two alike lines always have a sort in common. Then exact Jaccard verification and distributed
 union-find. Of each component, and of equal lines, the first line by document and place stays; the others go from their texts.
 """
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_groups import RANGE_ENTRIES, RUNS, Kind, band_keys, groups, merged_runs, packed_runs
+from .near_groups import AGREED, RANGE_ENTRIES, RUNS, VOTES, Kind, band_keys, groups, merged_runs, packed_runs, votes
 from .tools import dropped, mixed, sifted, stored, table
 
 #: Characters in a shingle that likeness counts, likeness, and coordinates of the signature that screens candidates.
@@ -105,39 +105,38 @@ def different(lines: list[str], most: int = 2 * FEW) -> np.ndarray:
     return count
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (int64, rows x BANDS) and the line that each row belongs to: each line has one or two rows."""
-    keys, owner = [np.zeros((0, BANDS), np.int64)], [np.zeros(0, np.int64)]
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys (int64, rows x BANDS), their votes (uint8), and the line that each row belongs to: each line has one or two rows."""
+    keys, cast, owner = [np.zeros((0, BANDS), np.int64)], [np.zeros((0, BANDS), np.uint8)], [np.zeros(0, np.int64)]
     for a, b in _parts(lines):
         part = lines[a:b]
         count = different(part)
         for kind, picked in ((0, np.flatnonzero(count >= LIKENESS * FEW)), (1, np.flatnonzero(count < FEW))):
             if len(picked):
-                hashes = shingles([part[k] for k in picked.tolist()], SHINGLE if kind else LONG)
-                keys.append(band_keys(minima(*hashes, BANDS * ROWS), ROWS, kind))
+                made = minima(*shingles([part[k] for k in picked.tolist()], SHINGLE if kind else LONG), BANDS * ROWS)
+                keys.append(band_keys(made, ROWS, kind))
+                cast.append(votes(made, ROWS))
                 owner.append(a + picked)
-    return np.concatenate(keys), np.concatenate(owner)
+    return np.concatenate(keys), np.concatenate(cast), np.concatenate(owner)
 
 
-def keys_of(lines: list[str]) -> list[np.ndarray]:
-    """All band keys of each line."""
-    keys, owner = line_keys(lines)
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(len(lines) + 1))
-    return [keys[order[a:b]].ravel() for a, b in zip(cuts, cuts[1:], strict=False)]
+def meet(a: str, b: str) -> bool:
+    """Whether two lines share a band's key with votes that agree."""
+    keys, cast, owner = line_keys([a, b])
+    return any((keys[i] == keys[j])[np.bitwise_count(cast[i] ^ cast[j]) <= VOTES - AGREED].any() for i in np.flatnonzero(owner == 0) for j in np.flatnonzero(owner == 1))
 
 
 KIND = Kind(shingle_sets, WIDTH, LIKENESS)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """id, c, line (from 0), h1, h2 (128 bits of hash) of each line with a word of docs (id, c, text)."""
+    """id, c, line (from 0), h1, h2 (56 and 64 bits of hash) of each line with a word of docs (id, c, text)."""
     split = docs.select("id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.col("x").rlike(HAS_WORD))
-    return split.select("id", "c", "line", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
+    return split.select("id", "c", "line", F.xxhash64("x").bitwiseAND(F.lit(-256)).alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
 
 
 def _runs_of(docs: DataFrame, ranges: int) -> DataFrame:
-    """Packed runs of band keys of the lines of docs (text); an entry's id is h1. A task signs a line that it meets again only once in a while."""
+    """Packed runs of band keys of the lines of docs (text); an entry's id is h1 with votes in its low byte. A task signs a line that it meets again only once in a while."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -145,15 +144,15 @@ def _runs_of(docs: DataFrame, ranges: int) -> DataFrame:
         size = 0
 
         def made() -> pd.DataFrame:
-            keys, owner = line_keys(list(new.values()))
+            keys, cast, owner = line_keys(list(new.values()))
             ids = np.fromiter(new, np.uint64, len(new)).view(np.int64)
-            return packed_runs(keys.ravel(), np.repeat(ids[owner], BANDS), ranges)
+            return packed_runs(keys.ravel(), np.repeat(ids[owner], BANDS) | cast.ravel(), ranges)
 
         for part in parts:
             for text in part["text"]:
                 for line in text.split("\n"):
                     if _WORD.search(line):
-                        h = xxhash.xxh64_intdigest(line.encode(), 42)
+                        h = xxhash.xxh64_intdigest(line.encode(), 42) & ~255
                         if h not in seen and h not in new:
                             new[h] = line
                             size += len(line)
@@ -185,7 +184,7 @@ def doomed(docs: DataFrame, **blocks) -> DataFrame:
     nodes = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "c", "line")).alias("first"), F.count("*").alias("n")))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = stored(merged_runs(_runs_of(docs, max(4 * partitions, nodes.count() * BANDS // RANGE_ENTRIES))))
-    # Lines meet by h1 and are removed by both hashes. Of different lines of one h1 (a pair in billions of lines) the first is compared.
+    # Lines meet by h1 and are removed by both hashes. Of different lines of one h1 (one in a billion at a hundred million lines) the first is compared.
     wanted = stored(nodes.join(shared.select(F.col("id").alias("h1")).distinct().hint("shuffle_hash"), "h1", "left_semi").groupBy("h1").agg(F.min("first").alias("first")))
     places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.line", F.col("h1").alias("node"))).alias("wanted"))
     at = sifted(docs, places, "id", "c").join(places.withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (docs["c"] == places["c"]))

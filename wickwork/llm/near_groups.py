@@ -31,6 +31,8 @@ from .tools import attached, dropped, mixed, sifted, stored
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
 #: Edges that are united in one task (16 bytes each); more go through distributed steps.
 FEW_EDGES = 500_000
+#: Bits that are kept with a band's key to tell chance meetings apart, and how many of them two alike items have in common at least.
+VOTES, AGREED = 8, 5
 #: Entries (of 12 bytes) that a range of band keys aims at.
 RANGE_ENTRIES = 1_000_000
 
@@ -106,8 +108,15 @@ def bucketed(items: DataFrame) -> DataFrame:
     return banded.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()
 
 
+def votes(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """items x bands of uint8: for each band one bit of each of the VOTES coordinates that follow it, by which two members of its bucket are told apart."""
+    width = signatures.shape[1]
+    place = (np.arange(0, width, rows)[:, None] + rows + np.arange(VOTES)) % width
+    return np.packbits((signatures & np.uint32(1)).astype(np.uint8)[:, place], axis=2)[:, :, 0]
+
+
 def packed_runs(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pd.DataFrame:
-    """A run for each range of keys: range, keys (4 bytes each), ids (8 bytes each), of entries (key, id) as arrays of int64."""
+    """A run for each range of keys: range, keys (4 bytes each), ids (8 bytes each; the low byte holds votes), of entries (key, id) as arrays of int64."""
     wide = keys.view(np.uint64)
     number = (wide >> np.uint64(32)) % np.uint64(ranges)
     order = np.argsort(number.astype(np.uint16 if ranges < 1 << 16 else np.uint64), kind="stable")
@@ -123,7 +132,8 @@ RUNS = "range int, keys binary, ids binary"
 def merged_runs(runs: DataFrame) -> DataFrame:
     """key, id of the members of all buckets of more than one item, from packed runs; buckets with the same members have the same key.
 
-    A key has 32 bits inside its range: the few buckets that so become one are told apart by screening.
+    A key has 32 bits inside its range: the few buckets that so become one are told apart by screening. A bucket of two whose votes agree in fewer than
+    AGREED places has met by chance and is left out. ids come without their votes.
     """
 
     def found(rows: list[tuple[bytes, bytes]]) -> pd.DataFrame:
@@ -138,7 +148,7 @@ def merged_runs(runs: DataFrame) -> DataFrame:
         keys, ids = keys[order], ids[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids = keys[fresh], ids[fresh]
+        keys, cast, ids = keys[fresh], (ids[fresh] & 255).astype(np.uint8), ids[fresh] & ~255
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
         starts = np.flatnonzero(first)
@@ -146,7 +156,9 @@ def merged_runs(runs: DataFrame) -> DataFrame:
         if not len(keys):
             return pd.DataFrame({"key": keys.astype(np.int64), "id": ids})
         total = mixed(np.add.reduceat(mixed(ids.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
-        many = np.repeat(sizes > 1, sizes)
+        following = np.minimum(starts + 1, len(keys) - 1)
+        chance = (sizes == 2) & (np.bitwise_count(cast[starts] ^ cast[following]) > VOTES - AGREED)
+        many = np.repeat((sizes > 1) & ~chance, sizes)
         return pd.DataFrame({"key": np.repeat(total, sizes)[many], "id": ids[many]})
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,11 +190,20 @@ def _alike(ids: list[int], made: np.ndarray, travels: np.ndarray, least: int) ->
     order = np.lexsort((ids, travels))
     ids, made, travels = [ids[k] for k in order], made[order], travels[order]
     known: dict[int, int] = {}  # a traveller may also be among the residents
-    labels, out = np.array([known.setdefault(x, i) for i, x in enumerate(ids)]), []
-    for i in range(int((~travels).sum()), len(ids)):
+    labels, out, first = [known.setdefault(x, i) for i, x in enumerate(ids)], [], int((~travels).sum())
+    if len(ids) <= 32:  # all comparisons at once
+        hits = [(i, j) for i, j in zip(*np.nonzero(np.tril((made[:, None] == made[None]).sum(2) >= least, -1)), strict=True) if i >= first]
+        union = _Union()
+        for i, j in hits:
+            if union.root(labels[i]) != union.root(labels[j]):
+                union.join(labels[i], labels[j])
+                out.append((ids[i], ids[j]))
+        return out
+    labels = np.array(labels)
+    for i in range(first, len(ids)):
         hits = np.flatnonzero((made[:i] == made[i]).sum(1) >= least)
-        met, first = np.unique(labels[hits], return_index=True)
-        for label, j in zip(met.tolist(), hits[first].tolist(), strict=True):
+        met, at = np.unique(labels[hits], return_index=True)
+        for label, j in zip(met.tolist(), hits[at].tolist(), strict=True):
             if label != labels[i]:
                 out.append((ids[i], ids[j]))
                 labels[labels == label] = labels[i]

@@ -14,7 +14,8 @@ the string, so equal strings have equal anchors at equal places; there is an anc
    where both together reach `length`, all between is repeated.
 
 A gram's different contexts meet in one task (equal ones are one entry of each run): the rim of a passage that stands in
-very many documents makes that group large. It costs time in proportion to the contexts there, not to their pairs.
+very many documents makes that group large. It costs time in proportion to the contexts there, not to their pairs, and
+the common prefix lengths of the merged order serve there too.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def resolve(group: list[tuple[bytes, int, bytes, int]], length: int = LENGTH) ->
     for i, (right, _, left, times) in enumerate(group):
         if times > 1:
             out[i].append((len(left), len(right)))
-    if n <= 40:
+    if n * (n - 1) <= 2 * (length - GRAM):  # fewer pairs than places
         for i in range(n):
             reach = 1 << 30
             for j in range(i + 1, n):
@@ -178,17 +179,20 @@ def resolve(group: list[tuple[bytes, int, bytes, int]], length: int = LENGTH) ->
                     out[i].append((back, reach))
                     out[j].append((back, reach))
         return out
-    # Many contexts: for each place of the anchor in the window, equal windows by hash and then by their bytes.
+    # For each place of the anchor in the window: contexts whose known common prefix is long enough stand together, and of those the ones
+    # whose left bytes are equal have the same window. No right context is compared again.
+    shared = np.array([x[1] for x in group])
+    long_right, long_left = np.array([len(x[0]) for x in group]), np.array([len(x[2]) for x in group])
     for o in range(length - GRAM + 1):
-        seen: dict[tuple[bytes, bytes], int] = {}
-        for i, (right, _, left, _) in enumerate(group):
-            if len(left) >= o and len(right) >= length - o:
-                key = (left[len(left) - o :], right[: length - o])
-                j = seen.setdefault(key, i)
-                if j != i:
-                    out[i].append((o, length - o))
-                    if not out[j] or out[j][-1] != (o, length - o):
-                        out[j].append((o, length - o))
+        run = np.cumsum(shared < length - o).tolist()
+        seen: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero((long_left >= o) & (long_right >= length - o)).tolist():
+            left = group[i][2]
+            j = seen.setdefault((run[i], left[len(left) - o :]), i)
+            if j != i:
+                out[i].append((o, length - o))
+                if not out[j] or out[j][-1] != (o, length - o):
+                    out[j].append((o, length - o))
     return out
 
 
