@@ -467,13 +467,35 @@ def test_loser_tree_merges_and_knows_common_prefixes():
             assert k == len(a[: next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))])
 
 
-def test_pipeline_runs_and_keeps_columns(spark):
+def test_pipeline_stages_against_plain_versions(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, n = docs.columns, docs.count()
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kinds, docs, seen = source.columns, source.dtypes, source, {}
     for name, stage in pipeline.STAGES:
-        before = docs
+        seen[name] = [r.asDict() for r in docs.collect()]
         docs = pipeline.stored(stage(spark, docs, SF))
         if name != "packing":
-            assert docs.columns == columns and docs.count() <= before.count()
-    assert 0.6 * n < docs.select("doc_id").distinct().count() <= n
+            assert docs.columns == columns and docs.dtypes == kinds
+    last = every(docs)
+    text = {name: {r["doc_id"]: r["text"] for r in rows} for name, rows in seen.items()}
+    good = {r["doc_id"] for r in every(cotraining.scored(source, spark.read.parquet(f"{SF}/labels.parquet"))) if r["kept"]}
+    assert set(text["line dedup"]) == good and all(text["line dedup"][i] == text["quality classifier"][i] for i in good)
+    # of equal lines with a word only the first by document is left, and no line is new
+    first, left = {}, Counter()
+    for i in sorted(text["line dedup"]):
+        before, after = text["line dedup"][i].split("\n"), Counter(text["near-dedup"][i].split("\n"))
+        for line in before:
+            first.setdefault(line, i)
+        assert not after - Counter(before) or after == Counter([""])
+        left.update(x for x in after.elements() if re.search(r"[^\W_]", x))
+    assert max(left.values()) == 1 and left.total() > 500
+    classes = grouped(spark, sorted(text["near-dedup"].items()), five)
+    assert set(text["secret scan"]) == set(classes.values()) and all(text["secret scan"][i] == text["near-dedup"][i] for i in text["secret scan"])
+    for i, t in text["packing"].items():
+        before = text["secret scan"][i]
+        assert (t == before) == (t.count("[SECRET]") == before.count("[SECRET]")) and not any(before[a:b] in t for a, _, b in plain_spans(before))
+    assert {r["doc_id"] for r in last} <= set(text["packing"]) and len({(r["bucket"], r["batch"], r["slot"]) for r in last}) == len(last)
+    tokens = Counter()
+    for r in last:
+        tokens[r["doc_id"]] += r["n_tokens"]
+    assert all(tokens[i] == len(t.split()) for i, t in text["packing"].items())
