@@ -186,10 +186,11 @@ def doomed(docs: DataFrame, **blocks) -> DataFrame:
     shared = stored(merged_runs(_runs_of(docs, max(4 * partitions, nodes.count() * BANDS // RANGE_ENTRIES))))
     # Lines meet by h1 and are removed by both hashes. Of different lines of one h1 (one in a billion at a hundred million lines) the first is compared.
     wanted = stored(nodes.join(shared.select(F.col("id").alias("h1")).distinct().hint("shuffle_hash"), "h1", "left_semi").groupBy("h1").agg(F.min("first").alias("first")))
-    places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.line", F.col("h1").alias("node"))).alias("wanted"))
-    at = sifted(docs, places, "id", "c").join(places.withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (docs["c"] == places["c"]))
-    split = at.select(F.split("text", "\n", -1).alias("all"), "wanted").select(F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("id"), F.get("all", w["line"]).alias("text")))).alias("w"))
-    items = stored(_signed(split.select("w.id", "w.text")))
+    places = wanted.select(F.col("first.id").alias("id"), F.col("first.c").alias("c"), F.col("first.line").alias("line"), F.col("h1").alias("node"))
+    split = docs.select("id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))  # lines travel, not their texts as a whole
+    own = places.select(F.col("id").alias("__id"), F.col("c").alias("__c"), F.col("line").alias("__line"), "node").hint("shuffle_hash")
+    at = sifted(split, places, "id", "c", "line").join(own, F.col("id").eqNullSafe(F.col("__id")) & (F.col("c") == F.col("__c")) & (F.col("line") == F.col("__line")))
+    items = stored(_signed(at.select(F.col("node").alias("id"), "text")))
     if items.count() != wanted.count():  # rows that repeat an id and a text
         items = stored(items.dropDuplicates(["id"]))
     found = groups(shared, items, KIND, **blocks)
@@ -219,7 +220,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
     out = marked.join(gone.hint("shuffle_hash"), F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__c")), "left").drop("__id", "__c", "__hash")
     out = out.withColumn("__all", F.split(text_col, "\n", -1))
-    kept = F.array_join(F.filter("__all", lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__gone")  # by hashes: linear, however many lines go
+    kept = F.array_join(F.transform(left, lambda i: F.get("__all", i)), "\n")
     out = out.withColumn("__n_lines", F.coalesce(F.size("__all"), F.lit(0))).withColumn("__n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0))))
     out = out.withColumn(text_col, F.when(F.col("__n_removed") > 0, kept).otherwise(F.col(text_col)))
     if length_col in docs.columns:
