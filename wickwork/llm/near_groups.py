@@ -299,14 +299,22 @@ class Kind:
         return int(self.width * self.likeness - 5 * np.sqrt(self.width * self.likeness * (1 - self.likeness)))
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    out = np.sort(hashes)
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
 def _links(ids: list, made: np.ndarray, sets: list, labels: list, travels: np.ndarray, kind: Kind, cross: bool) -> list[tuple[int, int]]:
     """Verified links that connect what is alike in a group; across components of `labels` only. cross: only pairs of a traveller and a resident count."""
-    n, likeness, known = len(ids), kind.likeness, {}
+    n, likeness, known, ready = len(ids), kind.likeness, {}, {}
 
-    def of(i: int) -> frozenset:
-        if not isinstance(sets[i], frozenset):
-            sets[i] = frozenset(sets[i].tolist())
-        return sets[i]
+    def of(i: int) -> np.ndarray:
+        if i not in ready:
+            ready[i] = _distinct(sets[i])
+        return ready[i]
 
     order = np.lexsort((ids, travels))
     made, travels = made[order], travels[order]
@@ -321,7 +329,8 @@ def _links(ids: list, made: np.ndarray, sets: list, labels: list, travels: np.nd
             x, y = of(order[i]), of(order[j])
             if min(len(x), len(y)) < likeness * max(len(x), len(y)):
                 continue
-            common = len(x & y)
+            both = np.sort(np.concatenate([x, y]))
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
             if common >= likeness * (len(x) + len(y) - common):
                 part[part == part[i]] = part[j]
                 out.append((ids[order[i]], ids[order[j]]))
