@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from wickwork.llm import bpe_transducer, cotraining, dart_minhash, extendible_shards, fuzzy_lines, length_buckets, order_minhash, robust_rules, secret_spans, suffix_dedup
+from wickwork.llm import bpe_transducer, cotraining, dart_minhash, extendible_shards, fuzzy_lines, length_buckets, near_groups, order_minhash, robust_rules, secret_spans, suffix_dedup
 from wickwork.llm.near_groups import components
 
 SF = "/root/testdata/sf0.001"
@@ -408,6 +408,31 @@ def test_op9_takes_texts_without_ids_and_several_texts_of_one_id(spark):
     assert kept == sorted([(1, a), (2, b), (3, c), (0, ""), (0, "alone")])
 
 
+def _unlike_variants(n, seed=6):
+    """Lines that share three quarters of a passage: screening calls them alike, but few are."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    passage = " ".join(word() for _ in range(30))
+    return [" ".join([passage, *(word() for _ in range(8))]) for _ in range(n)]
+
+
+def test_links_of_many_unlike_items_come_from_matrices_and_are_the_same(monkeypatch):
+    lines = _unlike_variants(90)
+    lines += [x[:60] + "#" + x[61:] for x in lines[:30]] + [x[:-9] for x in lines[40:50]]
+    made, sets, products = fuzzy_lines.signatures(lines), fuzzy_lines.shingle_sets(lines), []
+    plain = near_groups._alike_at_once
+    for cross in (False, True):
+        travels = np.arange(len(lines)) % 3 == 0 if cross else np.zeros(len(lines), bool)
+        found = []
+        for many in (50, 10**9):
+            monkeypatch.setattr(near_groups, "MANY_PAIRS", many)
+            monkeypatch.setattr(near_groups, "ENTRY", 1e-9)
+            monkeypatch.setattr(near_groups, "_alike_at_once", lambda *a: products.append(plain(*a)) or products[-1])
+            found.append(near_groups._links(list(range(len(lines))), made, sets, list(range(len(lines))), travels, fuzzy_lines.KIND, cross))
+        assert found[0] == found[1] and len(found[0]) >= 7
+    assert len(products) == 2 and all(x is not None for x in products)
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, few):
     rng = random.Random(13)

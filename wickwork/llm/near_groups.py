@@ -29,6 +29,8 @@ from .tools import attached, dropped, mixed, sifted, stored
 
 #: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
+#: Pairs of a group that are verified one by one at least, before a product of matrices may serve the rest; what a step of it costs, by the cost of one pair.
+MANY_PAIRS, ENTRY = 500, 2e-6
 #: Edges that are united in one task (16 bytes each); more go through distributed steps.
 FEW_EDGES = 500_000
 #: Bits that are kept with a band's key to tell chance meetings apart, and how many of them two alike items have in common at least.
@@ -319,24 +321,60 @@ def _links(ids: list, made: np.ndarray, sets: list, labels: list, travels: np.nd
     order = np.lexsort((ids, travels))
     made, travels = made[order], travels[order]
     part = np.array([known.setdefault(labels[k], i) for i, k in enumerate(order.tolist())])  # the component that each belongs to by now
-    out = []
-    for i in range(int((~travels).sum()) if cross else 1, n):
-        before = int((~travels).sum()) if cross else i
-        like = (made[:before] == made[i]).sum(1)
-        for j in np.flatnonzero((like >= kind.least) & (part[:before] != part[i])).tolist():
+    residents = int((~travels).sum())
+    top = residents if cross else 1
+    before = [residents if cross else i for i in range(top, n)]
+    close = [np.flatnonzero(((made[:m] == made[i]).sum(1) >= kind.least) & (part[:m] != part[i])) for i, m in enumerate(before, top)]
+    out, tried, due, start, alike = [], 0, MANY_PAIRS, top, None
+    for i, js in enumerate(close, top):
+        if alike is None and tried >= due:  # most pairs aren't alike, so that few go by what is known
+            left = sum(int((part[x] != part[k]).sum()) for k, x in enumerate(close[i - top :], i))
+            start, due, alike = i, 4 * tried, _alike_at_once(of, order, i, residents if cross else n, left, likeness)
+        if alike is not None:
+            js = js[alike[i - start, js]]
+        for j in js[part[js] != part[i]].tolist():
             if part[i] == part[j]:
                 continue
-            x, y = of(order[i]), of(order[j])
-            if min(len(x), len(y)) < likeness * max(len(x), len(y)):
-                continue
-            both = np.sort(np.concatenate([x, y]))
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            if common >= likeness * (len(x) + len(y) - common):
-                part[part == part[i]] = part[j]
-                out.append((ids[order[i]], ids[order[j]]))
+            if alike is None:
+                tried += 1
+                x, y = of(order[i]), of(order[j])
+                if min(len(x), len(y)) < likeness * max(len(x), len(y)):
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if common < likeness * (len(x) + len(y) - common):
+                    continue
+            part[part == part[i]] = part[j]
+            out.append((ids[order[i]], ids[order[j]]))
     return out
 
 
+def _alike_at_once(of: Callable[[int], np.ndarray], order: np.ndarray, start: int, width: int, pairs: int, likeness: float) -> np.ndarray | None:
+    """Which pairs (start + row, column) have the likeness, by exact counts of common elements from a product of matrices; None where `pairs` one by one cost less."""
+    rows = len(order) - start
+    if ENTRY * rows * width * 100 > pairs:
+        return None
+    sets = [of(k) for k in order.tolist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    used = np.bincount(code, minlength=len(values)) > 1  # others are common to no pair
+    place = np.cumsum(used) - 1
+    keep = used[code]
+    code, owner, n = place[code[keep]], owner[keep], int(used.sum())
+    if ENTRY * rows * width * n > pairs:
+        return None
+    by = np.argsort(code, kind="stable")
+    code, owner = code[by], owner[by]
+    common = np.zeros((rows, width), np.float32)  # whole numbers below 2 ** 24: exact
+    for low in range(0, n, 2048):
+        a, b = np.searchsorted(code, [low, low + 2048])
+        has = np.zeros((len(sets), min(2048, n - low)), np.float32)
+        has[owner[a:b], code[a:b] - low] = 1
+        common += has[start:] @ has[:width].T
+    return common >= likeness * (sizes[start:, None] + sizes[None, :width] - common.astype(np.float64))
+
+
 def _verified(rows: DataFrame, keys: list[str], kind: Kind, cross: bool) -> DataFrame:
     def work(part: pd.DataFrame, starts: np.ndarray) -> list[tuple[int, int]]:
         ids, texts, labels, travels = part["id"].tolist(), part["text"].tolist(), part["label"].tolist(), part["traveller"].to_numpy(bool)
