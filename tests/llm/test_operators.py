@@ -416,6 +416,22 @@ def _unlike_variants(n, seed=6):
     return [" ".join([passage, *(word() for _ in range(8))]) for _ in range(n)]
 
 
+def test_op7_unlike_members_of_a_cluster_travel_to_few_meetings(spark, monkeypatch):
+    lines, moved, verified = _unlike_variants(120), [], near_groups._verified
+
+    def counted(rows, keys, kind, cross):
+        moved.append(rows.count() if cross else 0)
+        return verified(rows, keys, kind, cross)
+
+    monkeypatch.setattr(near_groups, "_verified", counted)
+    docs = [(i, "src", x, len(x)) for i, x in enumerate([*lines, lines[7][:-1] + "#"])]
+    out = {r["doc_id"]: r["text"] for r in every(fuzzy_lines.without_repeats(spark.createDataFrame(docs, "doc_id long, source string, text string, n_chars long"), block_items=5))}
+    sets = [set(x.tolist()) for x in fuzzy_lines.shingle_sets([d[2] for d in docs])]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert links == [(7, 120)] and out == {d[0]: d[2] if d[0] < 120 else "" for d in docs}
+    assert max(moved) > 121 and max(moved) <= 2 * 121 * 7  # with blocks of 5 items, 25 of them, and copies to each: 5,000 and more
+
+
 def test_links_of_many_unlike_items_come_from_matrices_and_are_the_same(monkeypatch):
     lines = _unlike_variants(90)
     lines += [x[:60] + "#" + x[61:] for x in lines[:30]] + [x[:-9] for x in lines[40:50]]

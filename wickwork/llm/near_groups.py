@@ -29,6 +29,8 @@ from .tools import attached, dropped, mixed, sifted, stored
 
 #: Items and characters in a block; members of a bucket that are held against each other; members of each component that travel first.
 BLOCK_ITEMS, BLOCK_CHARS, MEMBERS, SCOUTS = 500, 2_000_000, 1000, 8
+#: Blocks that travellers meet at once (of no more characters than one block): copies of travellers and residents fall by as much.
+TRAVEL = 4
 #: Pairs of a group that are verified one by one at least, before a product of matrices may serve the rest; what a step of it costs, by the cost of one pair.
 MANY_PAIRS, ENTRY = 500, 2e-6
 #: Edges that are united in one task (16 bytes each); more go through distributed steps.
@@ -407,9 +409,10 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
     dropped(clusters)
     sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     blocks = F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars, F.lit(1))).cast("int")
-    wide_ones = stored(sizes.select("cluster", blocks.alias("blocks")).filter("blocks > 1"))
+    meetings = F.ceil(F.greatest(F.col("n") / (TRAVEL * block_items), F.col("chars") / block_chars)).cast("int")
+    wide_ones = stored(sizes.select("cluster", blocks.alias("blocks"), meetings.alias("meetings")).filter("blocks > 1"))
     where = attached(member, wide_ones, "cluster").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = stored(sifted(items.select("id", "text", "signature"), member, "id").join(where.select("id", "cluster", "blocks", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False)))
+    placed = stored(sifted(items.select("id", "text", "signature"), member, "id").join(where.select("id", "cluster", "blocks", "meetings", "block").hint("shuffle_hash"), "id").withColumn("label", F.col("id")).withColumn("traveller", F.lit(False)))
     links = stored(_verified(placed, ["cluster", "block"], kind, cross=False))
     if not wide_ones.isEmpty():
         wide = placed.filter("blocks > 1").drop("label")
@@ -426,9 +429,9 @@ def groups(shared: DataFrame, items: DataFrame, kind: Kind, block_items: int = B
             else:
                 away = split.filter("label <> largest").join(gone.select("id").hint("shuffle_hash"), "id", "left_anti")  # scouts have met all others
             away = stored(away)
-            weights = stored(away.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select("cluster", F.ceil(F.greatest(F.col("n") / block_items, F.col("chars") / block_chars)).cast("int").alias("parties")))
-            going = attached(away, weights, "cluster").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("at <> block").withColumn("traveller", F.lit(True))
-            staying = attached(split, weights, "cluster").filter("parties is not null").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("at", F.col("block"))
+            weights = stored(away.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select("cluster", F.ceil(F.greatest(F.col("n") / (TRAVEL * block_items), F.col("chars") / block_chars)).cast("int").alias("parties")))
+            going = attached(away, weights, "cluster").withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("meetings") - 1))).withColumn("traveller", F.lit(True))
+            staying = attached(split, weights, "cluster").filter("parties is not null").withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("at", F.floor(F.col("block") * F.col("meetings") / F.col("blocks")).cast("int"))
             columns = ["cluster", "at", "party", "id", "text", "signature", "label", "traveller"]
             new = stored(links.unionByName(_verified(going.select(*columns).unionByName(staying.select(*columns)), ["cluster", "at", "party"], kind, cross=True)))
             for x in (links, labels, named, first, weights, *([gone] if gone is not None else [])):
