@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -379,6 +380,55 @@ def test_op7_bands_find_lines_at_the_threshold():
     assert n > 700 and found / n > 0.995
 
 
+def test_op7_signatures_agree_as_the_jaccard_index_says():
+    # sets of few hashes (coordinates filled one by one), of some (several rounds) and of many (one round)
+    rng, width = np.random.default_rng(31), 84
+    for common, own in ((3, 1), (30, 10), (240, 80), (3000, 1000)):
+        pairs = []
+        for _ in range(400):
+            x = rng.integers(0, 2**64, common + 2 * own, dtype=np.uint64)
+            pairs += [x[: common + own], np.concatenate([x[common + own :], x[:common], x[:common]])]  # the order and repeats don't matter
+        made = fuzzy_lines.minima(np.concatenate(pairs), np.cumsum([0, *map(len, pairs)]), width)
+        alike, index = (made[::2] == made[1::2]).mean(1), common / (common + 2 * own)
+        spread = (index * (1 - index) / width) ** 0.5
+        assert abs(alike.mean() - index) < 4 * spread / 400**0.5 and alike.std() < 1.15 * spread
+        for k in (0, 1, 799):
+            assert (fuzzy_lines.minima(pairs[k], np.array([0, len(pairs[k])]), width)[0] == made[k]).all()  # whatever stands beside it
+
+
+def test_op7_signatures_take_few_steps_for_each_hash():
+    rng, width = np.random.default_rng(32), 84
+    hashes, first = rng.integers(0, 2**64, 60_000, dtype=np.uint64), np.arange(0, 60_001, 400)
+
+    def plain():  # as many steps as coordinates
+        small = (hashes >> np.uint64(32)).astype(np.uint32)
+        return [np.minimum.reduceat(small * np.uint32(2 * k + 1), first[:-1]) for k in range(width)]
+
+    def least(work):
+        took = []
+        for _ in range(25):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: fuzzy_lines.minima(hashes, first, width)) < 0.7 * least(plain)
+
+
+def test_op7_hashes_of_shingles_at_all_lengths():
+    lines = ["", "a", "ab", "abc", "abcd", "abcdefg", "abcdefgh", "abcdefghi", "\U0001f600bcdefgh", "abcd", "x" * 30]
+    for size in (4, 8):
+        for picked in (lines, lines[::-1], lines[:1], lines[1:3], lines[5:6]):
+            hashes, first = fuzzy_lines.shingles(picked, size)
+            named = {}
+            for k, line in enumerate(picked):
+                own = [line[i : i + size] for i in range(max(1, len(line) - size + 1))]
+                assert first[k + 1] - first[k] == len(own)
+                for text, h in zip(own, hashes[first[k] : first[k + 1]].tolist(), strict=True):
+                    assert named.setdefault(text, h) == h
+            assert len(set(named.values())) == len(named)
+
+
 def test_op7_takes_texts_without_ids_and_several_texts_of_one_id(spark):
     line = "one line that stands in all of them, word for word"
     docs = [(None, line), (1, f"{line}\nown"), (2, f"other\n{line}"), (2, f"{line}\nthird"), (3, f"x1\n{line}"), (3, f"x1\n{line}")]

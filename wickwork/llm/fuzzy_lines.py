@@ -28,6 +28,8 @@ from .tools import dropped, mixed, sifted, stored, table
 SHINGLE, LIKENESS, WIDTH = 4, 0.8, 64
 #: Characters in a shingle that bands are made of, bands, coordinates in a band; different shingles below which short ones are signed.
 LONG, BANDS, ROWS, FEW = 8, 28, 3, 40
+#: Rounds in which each hash gives one coordinate of a signature a value.
+ROUNDS = 4
 #: Lines of a task that are known to be signed already, and lines in a run.
 SEEN, RUN_LINES = 200_000, 50_000
 _WORD = re.compile(r"[^\W_]")
@@ -36,30 +38,42 @@ _STEPS = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xC2B2AE3D27D4EB4F), 4:
 #: The same as _WORD for Spark.
 HAS_WORD = r"[\p{L}\p{N}]"
 _RNG = np.random.default_rng(20)
-_FACTORS = (_RNG.integers(0, 2**31, max(WIDTH, BANDS * ROWS), dtype=np.uint64) * 2 + 1).astype(np.uint32)
+_FACTORS, _PLACES, _VALUES = ((_RNG.integers(0, 2**31, n, dtype=np.uint64) * 2 + 1).astype(np.uint32) for n in (max(WIDTH, BANDS * ROWS), ROUNDS, ROUNDS))
+#: A coordinate without a value.
+_NONE = np.uint32(0xFFFFFFFF)
 
 
-def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of all lines (size: a power of two), and where each line's start (one entry more); a shorter line has itself as its one shingle."""
-    h = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+def shingles(lines: list[str], size: int = SHINGLE, mix: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character shingles of all lines (size: a power of two), and where each line's start (one entry more); a shorter line has itself as its one shingle.
+
+    mix: hashes whose bits are even; the others are only good for telling whether shingles are equal.
+    """
+    text = "".join([x or "\0" for x in lines])
+    h = np.frombuffer((text + "\0" * (size - 1)).encode("utf-32-le"), np.uint32).astype(np.uint64)
     long = np.array([len(x) for x in lines], np.int64)
-    at = np.concatenate([[0], np.cumsum(long)])
-    count = np.maximum(1, long - size + 1)
-    first = np.concatenate([[0], np.cumsum(count)])
+    ends = np.cumsum(np.maximum(1, long))
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, long - size + 1))])
     step = 1
-    while step < size and len(h) > step:  # from hashes of strings of `step` to those of twice as many
-        h = h[:-step] * _STEPS[step] + h[step:]
+    while step < size:  # from hashes of strings of `step` to those of twice as many
+        following = h[step:]
+        h = h[:-step] * _STEPS[step]
+        h += following
         step *= 2
-    starts = np.repeat(at[:-1] - first[:-1], count)
-    starts += np.arange(first[-1])
-    out = mixed(h[np.minimum(starts, len(h) - 1)]) if len(h) else np.zeros(first[-1], np.uint64)
-    for k in np.flatnonzero(long < size).tolist():
+    inside = np.ones(len(text), bool)
+    for k in range(1, size):  # what starts so near a line's end goes beyond it; a line's first place stays
+        inside[(ends - k)[long > k]] = False
+    short = np.flatnonzero(long < size).tolist()
+    inside[(ends - np.maximum(1, long))[short]] = True
+    out = h[inside]
+    if mix:
+        out = mixed(out)
+    for k in short:
         out[first[k]] = xxhash.xxh64_intdigest(lines[k].encode(), size)
     return out, first
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    hashes, first = shingles(lines)
+    hashes, first = shingles(lines, mix=False)
     return [hashes[a:b] for a, b in zip(first.tolist(), first.tolist()[1:], strict=False)]
 
 
@@ -76,13 +90,38 @@ def _parts(lines: list[str], most: int = 60_000) -> Iterator[tuple[int, int]]:
 
 
 def minima(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    """MinHash signatures, sets x width of uint32: the least hash under multiplication by each of `width` odd factors."""
-    small = (hashes >> np.uint64(32)).astype(np.uint32)
-    out, buffer = np.zeros((len(first) - 1, width), np.uint32), np.zeros_like(small)
-    for j in range(width):
-        np.multiply(small, _FACTORS[j], out=buffer)
-        out[:, j] = np.minimum.reduceat(buffer, first[:-1])
-    return out ^ (out >> np.uint32(15))
+    """MinHash signatures, sets x width of uint32, in a few steps for each hash instead of `width`.
+
+    In each of ROUNDS rounds a hash gives one coordinate a value. A coordinate takes the least value of the first round that gives it any;
+    where none does, the least hash under multiplication by the coordinate's own odd factor. So a coordinate takes the first of
+    all hashes in an order of its own, and those of two sets agree with a probability of their Jaccard index, as with plain MinHash.
+    """
+    small, count = (hashes >> np.uint64(32)).astype(np.uint32), np.diff(first)
+    out = np.full(len(count) * width, _NONE, np.uint32)
+    table, which = out.reshape(len(count), width), np.arange(len(count))
+    left, base = small, np.repeat(which * width, count)
+    for k in range(ROUNDS):
+        at = left * _PLACES[k]
+        at >>= np.uint32(16)
+        at *= np.uint32(width)
+        at >>= np.uint32(16)
+        given = np.full_like(out, _NONE) if k else out
+        np.minimum.at(given, base + at, left * _VALUES[k])
+        if k:
+            np.copyto(out, given, where=out == _NONE)
+        lacking = (table[which] == _NONE).any(1)
+        keep = np.repeat(lacking, count[which])
+        left, base, which = left[keep], base[keep], which[lacking]
+        if not len(which):
+            break
+    for low in range(0, len(which), 2000):  # sets that still lack coordinates
+        rows, columns = np.nonzero(table[which[low : low + 2000]] == _NONE)
+        rows = which[low + rows]
+        starts = np.cumsum(count[rows]) - count[rows]
+        at = np.repeat(first[rows] - starts, count[rows])
+        at += np.arange(len(at))
+        table[rows, columns] = np.minimum.reduceat(small[at] * np.repeat(_FACTORS[columns], count[rows]), starts)
+    return table ^ (table >> np.uint32(15))
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -93,15 +132,22 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def different(lines: list[str], most: int = 2 * FEW) -> np.ndarray:
-    """How many different short shingles each line has; lines with FEW or more among their first `most` aren't counted further."""
-    hashes, first = shingles([x[: most + SHINGLE - 1] for x in lines])
+def _among(lines: list[str], most: int) -> np.ndarray:
+    """How many different short shingles there are among the first `most` of each line."""
+    hashes, first = shingles([x[: most + SHINGLE - 1] for x in lines], mix=False)
     inside = first[:-1, None] + np.arange(most)
     head = np.sort(np.where(inside < first[1:, None], hashes[np.minimum(inside, len(hashes) - 1)], hashes[first[:-1]][:, None]), axis=1)
-    count = 1 + (head[:, 1:] != head[:, :-1]).sum(1)
+    return 1 + (head[:, 1:] != head[:, :-1]).sum(1)
+
+
+def different(lines: list[str]) -> np.ndarray:
+    """How many different short shingles each line has; lines with FEW or more among their first ones aren't counted further."""
+    count = _among(lines, FEW + FEW // 4)
     for k in np.flatnonzero(count < FEW).tolist():
-        if len(lines[k]) > most:
-            count[k] = len(np.unique(shingles([lines[k]])[0]))
+        if len(lines[k]) > FEW + FEW // 4:
+            count[k] = len(np.unique(shingles([lines[k][: 4 * FEW]], mix=False)[0]))
+            if count[k] < FEW and len(lines[k]) > 4 * FEW:
+                count[k] = len(np.unique(shingles([lines[k]], mix=False)[0]))
     return count
 
 
@@ -131,7 +177,7 @@ KIND = Kind(shingle_sets, WIDTH, LIKENESS)
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """id, c, line (from 0), h1, h2 (56 and 64 bits of hash) of each line with a word of docs (id, c, text)."""
-    split = docs.select("id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.col("x").rlike(HAS_WORD))
+    split = docs.select("id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.substring("x", 1, 16).rlike(HAS_WORD) | F.col("x").rlike(HAS_WORD))  # few lines are looked through
     return split.select("id", "c", "line", F.xxhash64("x").bitwiseAND(F.lit(-256)).alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
 
 

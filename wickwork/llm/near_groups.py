@@ -115,8 +115,12 @@ def bucketed(items: DataFrame) -> DataFrame:
 def votes(signatures: np.ndarray, rows: int) -> np.ndarray:
     """items x bands of uint8: for each band one bit of each of the VOTES coordinates that follow it, by which two members of its bucket are told apart."""
     width = signatures.shape[1]
-    place = (np.arange(0, width, rows)[:, None] + rows + np.arange(VOTES)) % width
-    return np.packbits((signatures & np.uint32(1)).astype(np.uint8)[:, place], axis=2)[:, :, 0]
+    bits = (signatures & np.uint32(1)).astype(np.uint8)[:, np.arange(width + rows + VOTES) % width]
+    out = np.zeros((len(bits), width // rows), np.uint8)
+    for k in range(rows, rows + VOTES):
+        out <<= 1
+        out |= bits[:, k : k + width : rows]
+    return out
 
 
 def packed_runs(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pd.DataFrame:
@@ -311,9 +315,21 @@ def _distinct(hashes: np.ndarray) -> np.ndarray:
     return out[new]
 
 
+def _similar(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
+    """Whether two arrays of different values have that Jaccard index."""
+    if min(len(x), len(y)) < likeness * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= likeness * (len(x) + len(y) - common)
+
+
 def _links(ids: list, made: np.ndarray, sets: list, labels: list, travels: np.ndarray, kind: Kind, cross: bool) -> list[tuple[int, int]]:
     """Verified links that connect what is alike in a group; across components of `labels` only. cross: only pairs of a traveller and a resident count."""
     n, likeness, known, ready = len(ids), kind.likeness, {}, {}
+    if n == 2 and not cross:  # most groups
+        met = labels[0] != labels[1] and int((made[0] == made[1]).sum()) >= kind.least and _similar(_distinct(sets[0]), _distinct(sets[1]), likeness)
+        return [(max(ids), min(ids))] if met else []
 
     def of(i: int) -> np.ndarray:
         if i not in ready:
@@ -339,12 +355,7 @@ def _links(ids: list, made: np.ndarray, sets: list, labels: list, travels: np.nd
                 continue
             if alike is None:
                 tried += 1
-                x, y = of(order[i]), of(order[j])
-                if min(len(x), len(y)) < likeness * max(len(x), len(y)):
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if common < likeness * (len(x) + len(y) - common):
+                if not _similar(of(order[i]), of(order[j]), likeness):
                     continue
             part[part == part[i]] = part[j]
             out.append((ids[order[i]], ids[order[j]]))

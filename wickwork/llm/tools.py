@@ -116,10 +116,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64, so that the low and high bits of polynomial hashes are usable."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def powers(n: int) -> np.ndarray:
