@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_groups import AGREED, RANGE_ENTRIES, RUNS, VOTES, Kind, band_keys, groups, merged_runs, packed_runs, votes
-from .tools import dropped, mixed, sifted, stored, table
+from .tools import dropped, sifted, stored, table
 
 #: Characters in a shingle that likeness counts, likeness, and coordinates of the signature that screens candidates.
 SHINGLE, LIKENESS, WIDTH = 4, 0.8, 64
@@ -46,17 +46,18 @@ _NONE = np.uint32(0xFFFFFFFF)
 def shingles(lines: list[str], size: int = SHINGLE, mix: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of all lines (size: a power of two), and where each line's start (one entry more); a shorter line has itself as its one shingle.
 
-    mix: hashes whose bits are even; the others are only good for telling whether shingles are equal.
+    mix: 32 bits each, evenly spread, for signatures; else 64 bits each, which only tell whether shingles are equal.
     """
     text = "".join([x or "\0" for x in lines])
-    h = np.frombuffer((text + "\0" * (size - 1)).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    h = np.frombuffer((text + "\0" * (size - 1)).encode("utf-32-le"), np.uint32)
+    h = h if mix else h.astype(np.uint64)
     long = np.array([len(x) for x in lines], np.int64)
     ends = np.cumsum(np.maximum(1, long))
     first = np.concatenate([[0], np.cumsum(np.maximum(1, long - size + 1))])
     step = 1
     while step < size:  # from hashes of strings of `step` to those of twice as many
         following = h[step:]
-        h = h[:-step] * _STEPS[step]
+        h = h[:-step] * _STEPS[step].astype(h.dtype)
         h += following
         step *= 2
     inside = np.ones(len(text), bool)
@@ -66,9 +67,12 @@ def shingles(lines: list[str], size: int = SHINGLE, mix: bool = True) -> tuple[n
     inside[(ends - np.maximum(1, long))[short]] = True
     out = h[inside]
     if mix:
-        out = mixed(out)
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+            out ^= out >> np.uint32(shift)
+            out *= np.uint32(factor)
+        out ^= out >> np.uint32(16)
     for k in short:
-        out[first[k]] = xxhash.xxh64_intdigest(lines[k].encode(), size)
+        out[first[k]] = xxhash.xxh64_intdigest(lines[k].encode(), size) >> (32 if mix else 0)
     return out, first
 
 
@@ -90,13 +94,13 @@ def _parts(lines: list[str], most: int = 60_000) -> Iterator[tuple[int, int]]:
 
 
 def minima(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    """MinHash signatures, sets x width of uint32, in a few steps for each hash instead of `width`.
+    """MinHash signatures, sets x width of uint32, of the upper 32 bits of hashes, in a few steps for each hash instead of `width`.
 
     In each of ROUNDS rounds a hash gives one coordinate a value. A coordinate takes the least value of the first round that gives it any;
     where none does, the least hash under multiplication by the coordinate's own odd factor. So a coordinate takes the first of
     all hashes in an order of its own, and those of two sets agree with a probability of their Jaccard index, as with plain MinHash.
     """
-    small, count = (hashes >> np.uint64(32)).astype(np.uint32), np.diff(first)
+    small, count = (hashes >> hashes.dtype.type(8 * hashes.itemsize - 32)).astype(np.uint32), np.diff(first)
     out = np.full(len(count) * width, _NONE, np.uint32)
     table, which = out.reshape(len(count), width), np.arange(len(count))
     left, base = small, np.repeat(which * width, count)

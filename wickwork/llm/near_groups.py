@@ -393,9 +393,9 @@ def _verified(rows: DataFrame, keys: list[str], kind: Kind, cross: bool) -> Data
         ids, texts, labels, travels = part["id"].tolist(), part["text"].tolist(), part["label"].tolist(), part["traveller"].to_numpy(bool)
         made = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(len(part), -1)
         bounds, out, at = [(a, b) for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True) if b - a > 1], [], 0
-        while at < len(bounds):  # groups of about a million characters at a time
+        while at < len(bounds):  # groups of about a hundred thousand characters at a time: arrays that fit a cache
             stop, size = at, 0
-            while stop < len(bounds) and (stop == at or size < 1_000_000):
+            while stop < len(bounds) and (stop == at or size < 100_000):
                 size += sum(map(len, texts[slice(*bounds[stop])]))
                 stop += 1
             sets, k = kind.elements([x for a, b in bounds[at:stop] for x in texts[a:b]]), 0
